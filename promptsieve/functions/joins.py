@@ -1,0 +1,24 @@
+"""Joins that hold when one key owns a third of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str, how: str = "left",
+           limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+    """Join a keyed lookup table onto a larger frame.
+
+    The table is broadcast only after counting that it has at most ``limit`` rows.
+    Otherwise the join shuffles on (key, salt): each lookup row is repeated once per
+    salt and the facts take theirs from ``spread_by``, so a hot key is split over
+    ``salts`` tasks.
+    """
+    if table.limit(limit + 1).count() <= limit:
+        return facts.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    return placed.join(salted, [key, "_salt"], how).drop("_salt")

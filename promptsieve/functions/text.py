@@ -150,3 +150,25 @@ def mean_length(tokens: Column) -> Column:
     """Mean token length; 0 without tokens."""
     n = F.size(tokens)
     return F.when(n > 0, F.length(F.array_join(tokens, "")) / n).otherwise(F.lit(0.0))
+
+
+SEPARATOR = "\uffff"  # a noncharacter: never part of a term
+
+
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of the distinct terms, counted inside the row.
+
+    Sorting brings equal terms together and one back-reference pass measures each
+    run, so counting terms per text needs neither an explode nor a shuffle.
+    """
+    joined = F.concat(F.array_join(F.sort_array(terms), SEPARATOR), F.lit(SEPARATOR))
+    pattern = F.lit(f"([^{SEPARATOR}]+{SEPARATOR})\\1*")
+    spans = F.regexp_extract_all(joined, pattern, F.lit(0))
+    firsts = F.regexp_extract_all(joined, pattern, F.lit(1))
+    return F.zip_with(
+        spans, firsts,
+        lambda s, f: F.struct(
+            F.rtrim(f, F.lit(SEPARATOR)).alias("term"),
+            (F.length(s) / F.length(f)).cast("bigint").alias("tf"),
+        ),
+    )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def literal(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values])
+def literal(values: Sequence, kind: str = "double") -> Column:
+    """A constant array; one call whatever its length, and folded by the optimiser."""
+    if kind == "double":
+        values = [float(v) for v in values]
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
 def dot(a: Column, b: Column) -> Column:
