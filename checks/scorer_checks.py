@@ -17,7 +17,7 @@ WORD_FEATURES, CHAR_FEATURES = 5000, 10000
 
 def prompts(spark, sf):
     """Seeded texts with labels."""
-    return T.seeded_texts(spark, sf).join(T.labels(spark, sf), "prompt_id")
+    return T.seeded_texts(spark, sf).join(T.labels(spark, sf), "prompt_id", "left")
 
 
 def turns(spark, sf):

@@ -1,9 +1,9 @@
 """Column expressions over text: tokens, n-grams, histograms, counts, patterns.
 
 Every builder returns a Catalyst expression, so text never leaves the JVM.
-Builders that need a token array take the *column* holding it: materialise the
-array in one ``select`` and refer to it from the next, because an expression
-inlined into a lambda body would be evaluated once per element.
+Lambdas refer to their own arguments only.  The optimiser may replace a column
+reference by the expression behind it (collapsing projections, pushing filters),
+and inside a lambda that expression would run once per element.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.lexicon import WORD, WS
@@ -105,11 +105,14 @@ def count_members(tokens: Column, members: Iterable[str]) -> Column:
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    """Adjacent n-token phrases joined by one blank; ``tokens`` must be a plain column."""
-    joined = lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])
-    return F.when(
-        F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), joined)
-    ).otherwise(F.array().cast("array<string>"))
+    """Adjacent n-token phrases joined by one blank.
+
+    The shifted arrays are arguments of zip_with; nothing outside the row of a lambda
+    is referenced in it, so inlining ``tokens`` cannot make this quadratic.
+    """
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = [F.slice(tokens, F.lit(k + 1), count) for k in range(n)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
 
 
 def word_runs(tokens: Column) -> Column:
@@ -172,3 +175,13 @@ def term_counts(terms: Column) -> Column:
             (F.length(s) / F.length(f)).cast("bigint").alias("tf"),
         ),
     )
+
+
+def exploded(frame: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """One row per element, keeping the columns ``keep``; empty arrays give no row.
+
+    A plain explode makes the optimiser add a size filter below the projection, which
+    computes the array twice; the outer form with a filter above it does not.
+    """
+    rows = frame.select(*keep, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def literal(values: Sequence, kind: str = "double") -> Column:
-    """A constant array; one call whatever its length, and folded by the optimiser."""
-    if kind == "double":
-        values = [float(v) for v in values]
-    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+    """A constant array, built by one call whatever its length.
+
+    Splitting a constant is folded into a plain literal by the optimiser, so tasks
+    neither parse nor build anything.
+    """
+    if kind == "string":
+        return F.split(F.lit("\uffff".join(values)), "\uffff")
+    return F.split(F.lit(",".join(repr(float(v) if kind == "double" else int(v)) for v in values)), ",").cast(f"array<{kind}>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,9 +27,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def normalise(a: Column, size: Column, floor: float = 1e-8) -> Column:
-    """Unit vector; ``size`` must be a plain column holding the norm of ``a``."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(size, F.lit(floor)))
+def divide(a: Column, by: Column) -> Column:
+    """Every element over one number of the row.
+
+    The divisor is an argument, not a reference inside the lambda: the optimiser may
+    inline the expression behind such a reference and then evaluate it per element.
+    """
+    return F.zip_with(a, F.array_repeat(by, F.size(a)), lambda x, s: x.cast("double") / s)
+
+
+def normalise(a: Column, floor: float = 1e-8) -> Column:
+    """Unit vector; a norm below the floor is replaced by the floor."""
+    return divide(a, F.greatest(norm(a), F.lit(floor)))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -36,7 +48,7 @@ def distance(a: Column, b: Column) -> Column:
     ))
 
 
-def softmax(values: Column, peak: Column) -> Column:
-    """Softmax of an array; ``values`` and ``peak`` (its maximum) must be plain columns."""
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - peak))
-    return F.transform(values, lambda v: F.exp(v - peak) / total)
+def softmax(values: Column) -> Column:
+    peaks = F.array_repeat(F.array_max(values), F.size(values))
+    lifted = F.zip_with(values, peaks, lambda v, m: F.exp(v - m))
+    return divide(lifted, F.aggregate(lifted, F.lit(0.0), lambda s, v: s + v))

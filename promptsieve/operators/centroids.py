@@ -16,18 +16,23 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.functions import vectors as V
 
+# Ship these functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FLOOR = 1e-8
 
 
 def l2_normalise(frame: DataFrame, column: str = "embedding", floor: float = FLOOR) -> DataFrame:
     """Replaces the vector with its unit vector; vectors shorter than ``floor`` are divided by it."""
-    sized = frame.withColumn("_norm", V.norm(F.col(column)))
-    return sized.withColumn(column, V.normalise(F.col(column), F.col("_norm"), floor)).drop("_norm")
+    return frame.withColumn(column, V.normalise(F.col(column), floor))
 
 
 def class_means(frame: DataFrame, by: str, column: str = "embedding") -> DataFrame:
@@ -40,11 +45,10 @@ def class_means(frame: DataFrame, by: str, column: str = "embedding") -> DataFra
 
 def unit_means(frame: DataFrame, by: str, column: str = "embedding") -> DataFrame:
     """Class means scaled to length one (left as they are below the floor)."""
-    means = class_means(frame, by, column).withColumn("_norm", V.norm(F.col("centroid")))
-    return means.withColumn(
-        "centroid", F.when(F.col("_norm") > FLOOR, F.transform("centroid", lambda x: x / F.col("_norm")))
-        .otherwise(F.col("centroid")),
-    ).drop("_norm")
+    centroid, size = F.col("centroid"), V.norm(F.col("centroid"))
+    return class_means(frame, by, column).withColumn(
+        "centroid", F.when(size > FLOOR, V.divide(centroid, size)).otherwise(centroid)
+    )
 
 
 def scale_statistics(frame: DataFrame, column: str = "embedding") -> DataFrame:
@@ -152,21 +156,19 @@ def argmin_class(model: CentroidModel, values: Column) -> Column:
 def score_cosine(frame: DataFrame, model: CentroidModel, column: str = "embedding") -> DataFrame:
     """Adds similarities, prediction and softmax probabilities."""
     scored = frame.withColumn("similarities", cosine_similarities(model, column))
-    scored = scored.withColumn("_peak", F.array_max("similarities"))
     return scored.withColumn("prediction", argmax_class(model, F.col("similarities"))).withColumn(
-        "probabilities", V.softmax(F.col("similarities"), F.col("_peak"))
-    ).drop("_peak")
+        "probabilities", V.softmax(F.col("similarities"))
+    )
 
 
 def score_euclidean(frame: DataFrame, model: CentroidModel, column: str = "embedding") -> DataFrame:
     """Adds distances, prediction and inverse-distance probabilities."""
     scored = frame.withColumn("distances", euclidean_distances(model, column))
-    scored = scored.withColumn(
-        "_whole", F.aggregate("distances", F.lit(0.0), lambda s, d: s + 1.0 / (d + FLOOR))
-    )
+    inverse = F.transform("distances", lambda d: 1.0 / (d + FLOOR))
+    whole = F.aggregate(inverse, F.lit(0.0), lambda s, v: s + v)
     return scored.withColumn("prediction", argmin_class(model, F.col("distances"))).withColumn(
-        "probabilities", F.transform("distances", lambda d: 1.0 / (d + FLOOR) / F.col("_whole"))
-    ).drop("_whole")
+        "probabilities", V.divide(inverse, whole)
+    )
 
 
 def max_similarity(frame: DataFrame, model: CentroidModel, classes: Sequence | None = None, column: str = "embedding") -> DataFrame:

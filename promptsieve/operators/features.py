@@ -85,9 +85,12 @@ def _digit_entropy() -> Column:
 def _sliding_ttr(window: int) -> Column:
     """Mean distinct-token share over half-overlapping windows."""
     n, step = F.size("w"), window // 2
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)), F.lit(step))
-    shares = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice("w", i, F.lit(window)))) / F.lit(window))
-    mean = F.aggregate(shares, F.lit(0.0), lambda a, s: a + s) / F.size(starts)
+    windows = F.floor((F.greatest(n, F.lit(window)) - window) / step).cast("int") + 1
+    shares = F.transform(
+        F.array_repeat("w", windows),
+        lambda tokens, k: F.size(F.array_distinct(F.slice(tokens, k * step + 1, F.lit(window)))) / F.lit(window),
+    )
+    mean = F.aggregate(shares, F.lit(0.0), lambda a, s: a + s) / windows
     return F.when(n < window, _per_word(_n("distinct_words"))).otherwise(mean)
 
 

@@ -96,6 +96,5 @@ def pattern_hits(texts: DataFrame, patterns: Mapping[str, float] = L.PATTERN_SCO
             F.when(_matches(text, pattern), position - 1).alias("offset"),
         ))
     found = folded.select("prompt_id", F.array(*entries).alias("hits"))
-    return found.select(
-        "prompt_id", F.explode(F.filter("hits", lambda h: h["offset"].isNotNull())).alias("h")
-    ).select("prompt_id", "h.pattern", "h.score", "h.offset")
+    present = F.filter("hits", lambda h: h["offset"].isNotNull())
+    return X.exploded(found, present, "h", "prompt_id").select("prompt_id", "h.pattern", "h.score", "h.offset")

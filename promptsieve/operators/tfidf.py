@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from promptsieve.functions import text as X
 from promptsieve.functions import vectors as V
-from promptsieve.lexicon import WORD, WS
+from promptsieve.functions.grams import word_bound_counts
+from promptsieve.lexicon import WORD
 from promptsieve.operators.keywords import sigmoid
 
 
@@ -29,30 +30,17 @@ def word_terms(texts: DataFrame, text: str = "prompt_text") -> DataFrame:
     ).drop("_tokens")
 
 
-def char_terms(texts: DataFrame, text: str = "prompt_text", sizes=(3, 4, 5)) -> DataFrame:
-    """Adds ``terms``: character grams inside blank-padded words.
-
-    In a text with single blanks between and around words, those are exactly the
-    windows without an inner blank.
-    """
-    padded = F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text)), WS + "+", " ")), F.lit(" ")
-    )
-    staged = texts.withColumn("_padded", padded)
-    grams = [
-        F.regexp_extract_all(F.col("_padded"), F.lit("(?s)(?=(.[^ ]{%d}.))." % (n - 2)), F.lit(1))
-        for n in sizes
-    ]
-    return staged.withColumn("terms", F.concat(*grams)).drop("_padded")
-
-
-ANALYZERS = {"word": word_terms, "char": char_terms}
+def counted_terms(texts: DataFrame, analyzer: str, text: str = "prompt_text") -> DataFrame:
+    """Adds ``counted``: array<struct<term, tf>> of the distinct terms of each text."""
+    if analyzer == "char":
+        return texts.withColumn("counted", word_bound_counts(F.col(text)))
+    return word_terms(texts, text).withColumn("counted", X.term_counts(F.col("terms"))).drop("terms")
 
 
 def term_statistics(texts: DataFrame, analyzer: str = "word") -> DataFrame:
     """(term, tf, df) over the corpus; each text contributes one row per distinct term."""
-    counted = ANALYZERS[analyzer](texts).select(F.explode(X.term_counts(F.col("terms"))).alias("x"))
-    return counted.groupBy(F.col("x.term").alias("term")).agg(
+    rows = X.exploded(counted_terms(texts, analyzer), F.col("counted"), "x")
+    return rows.groupBy(F.col("x.term").alias("term")).agg(
         F.sum("x.tf").alias("tf"), F.count(F.lit(1)).alias("df")
     )
 
@@ -84,19 +72,22 @@ class TfidfModel:
         """Adds ``term_ids`` and ``weights``: (1 + ln tf) * idf, scaled to length one."""
         if not self.terms:
             raise ValueError("the vocabulary is empty")
-        counter = CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="terms", outputCol="_counts")
         keep = frame.columns
-        counted = counter.transform(ANALYZERS[self.analyzer](frame)).select(
-            *keep, F.unwrap_udt("_counts").alias("_c")
-        )
+        if self.analyzer == "char":
+            counted = frame.withColumn("_n", word_bound_counts(F.col("prompt_text"), vocabulary=self.terms))
+            counted = counted.select(*keep, F.struct(
+                F.col("_n.term").alias("indices"), F.col("_n.tf").cast("array<double>").alias("values")
+            ).alias("_c"))
+        else:
+            counter = CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="terms", outputCol="_counts")
+            counted = counter.transform(word_terms(frame)).select(*keep, F.unwrap_udt("_counts").alias("_c"))
         idf = V.literal(self.idf)
         raw = counted.select(
             *keep, F.col("_c.indices").alias("term_ids"),
             F.zip_with("_c.indices", "_c.values", lambda i, n: (1.0 + F.ln(n)) * F.get(idf, i)).alias("_raw"),
         )
-        sized = raw.select(*keep, "term_ids", "_raw", V.norm(F.col("_raw")).alias("_size"))
-        return sized.select(
-            *keep, "term_ids", F.transform("_raw", lambda w: w / F.col("_size")).alias("weights")
+        return raw.select(
+            *keep, "term_ids", V.divide(F.col("_raw"), V.norm(F.col("_raw"))).alias("weights")
         )
 
     def transform(self, texts: DataFrame) -> DataFrame:
@@ -106,9 +97,7 @@ class TfidfModel:
     def long(self, texts: DataFrame) -> DataFrame:
         """(prompt_id, term, weight), one row per term of a text that is in the vocabulary."""
         names = V.literal(self.terms, "string")
-        pairs = self.transform(texts).select(
-            "prompt_id", F.explode(F.arrays_zip("term_ids", "weights")).alias("p")
-        )
+        pairs = X.exploded(self.transform(texts), F.arrays_zip("term_ids", "weights"), "p", "prompt_id")
         return pairs.select(
             "prompt_id", F.get(names, F.col("p.term_ids")).alias("term"), F.col("p.weights").alias("weight")
         )
@@ -120,7 +109,7 @@ def malicious_centroid(prompts: DataFrame, model: TfidfModel) -> DataFrame:
     One partial aggregation of at most |vocabulary| groups.
     """
     malicious = prompts.where(F.col("is_malicious") == 1)
-    pairs = model.transform(malicious).select(F.explode(F.arrays_zip("term_ids", "weights")).alias("p"))
+    pairs = X.exploded(model.transform(malicious), F.arrays_zip("term_ids", "weights"), "p")
     sums = pairs.groupBy(F.col("p.term_ids").alias("term_id")).agg(F.sum("p.weights").alias("s"))
     # At most one entry per vocabulary term.  The count of malicious rows cancels when
     # the mean is scaled to length one.

@@ -1,8 +1,7 @@
 """Readers and the derived views every operator works on.
 
 Texts are wide and everything else is narrow, so views keep them apart: text
-operators reduce ``texts`` to narrow rows first and join labels afterwards.  No
-join in the library shuffles a text column.
+operators reduce ``texts`` to narrow rows first and join labels afterwards.
 """
 
 from __future__ import annotations
@@ -87,7 +86,8 @@ def seeded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).join(labels(spark, sf_dir), "prompt_id")
+    """Texts with labels.  The left join keeps the texts in place when the labels are small."""
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "prompt_id", "left")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
