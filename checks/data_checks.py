@@ -47,18 +47,12 @@ def external(spark, sf):
     ])
 
 
-def detect(text):
-    """Pattern gate as 0/1, on a text expression."""
-    return (P.score_folded(P.fold(text)) >= L.PATTERN_GATE).cast("int")
-
-
 def judged_external(spark, sf):
-    frame = external(spark, sf)
-    return frame.select("dataset", "is_malicious", detect(F.col("prompt_text")).alias("pred"))
+    return P.flag_by_gate(external(spark, sf)).select("dataset", "is_malicious", "pred")
 
 
 def home(spark, sf):
-    own = prompts(spark, sf).select("is_malicious", detect(F.col("prompt_text")).alias("pred"))
+    own = P.flag_by_gate(prompts(spark, sf)).select("is_malicious", "pred")
     return CP.by_dataset(own.withColumn("dataset", F.lit("home")))
 
 
@@ -122,8 +116,8 @@ QUERIES = {
     "embedding_alignment": lambda s, sf: T.vectors(s, sf).select("prompt_id", "label").join(ids(s, sf), "prompt_id"),
     "robustness_transforms": lambda s, sf: R.transformed(T.seeded_texts(s, sf)).select(
         "prompt_id", "transform", F.md5(F.col("prompt_text").cast("binary")).alias("digest")),
-    "robustness_report": lambda s, sf: R.detection_report(sample(s, sf), detect),
-    "robustness_average": lambda s, sf: rounded(R.average_detection(R.detection_report(sample(s, sf), detect))),
+    "robustness_report": lambda s, sf: R.detection_report(sample(s, sf), P.flag_by_gate),
+    "robustness_average": lambda s, sf: rounded(R.average_detection(R.detection_report(sample(s, sf), P.flag_by_gate))),
     "blend_decision": lambda s, sf: rounded(D.blend(components(s, sf)).select("prompt_id", "score", "pred")),
     "gated_decision": lambda s, sf: rounded(D.gated_blend(components(s, sf)).select("prompt_id", "score", "pred")),
     "cross_dataset": lambda s, sf: rounded(CP.by_dataset(judged_external(s, sf))),

@@ -30,18 +30,9 @@ def turns(spark, sf):
 
 def traffic(spark, sf):
     """Texts blocked by the pattern gate."""
-    texts = T.seeded_texts(spark, sf)
-    folded = texts.withColumn("folded", P.fold(F.col("prompt_text")))
-    return folded.select(
-        "prompt_id", "prompt_text",
-        (P.score_folded(F.col("folded")) >= L.PATTERN_GATE).cast("int").alias("blocked"),
-    )
+    return P.flag_by_gate(T.seeded_texts(spark, sf), "blocked")
 
 
-PATTERN_ROWS = " union all ".join(
-    f"select {quote(p)} as pattern, cast({s} as double) as score" for p, s in L.PATTERN_SCORES.items()
-)
-PATS = f"pats as ({PATTERN_ROWS})"
 # One expression per pattern, so the engine compiles each regex once.
 _SCORE = "greatest(0.0, " + ", ".join(
     f"case when regexp_matches(prompt_text, {quote('(?i)' + p)}) then {s} else 0.0 end" for p, s in L.PATTERN_SCORES.items()

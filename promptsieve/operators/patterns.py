@@ -75,10 +75,22 @@ def score_folded(folded: Column, patterns: Mapping[str, float] = L.PATTERN_SCORE
     return F.lit(0.0) if chain is None else chain.otherwise(F.lit(0.0))
 
 
+def with_score(frame: DataFrame, name: str = "pattern_score", text: str = "prompt_text",
+               patterns: Mapping[str, float] = L.PATTERN_SCORES) -> DataFrame:
+    """Adds the best pattern score; the text is folded once in a projection of its own."""
+    folded = frame.withColumn("_folded", fold(F.col(text)))
+    return folded.withColumn(name, score_folded(F.col("_folded"), patterns)).drop("_folded")
+
+
+def flag_by_gate(frame: DataFrame, name: str = "pred", gate: float = L.PATTERN_GATE) -> DataFrame:
+    """Adds 1 where the best pattern score of prompt_text reaches the gate."""
+    scored = with_score(frame, "_score")
+    return scored.withColumn(name, (F.col("_score") >= gate).cast("int")).drop("_score")
+
+
 def pattern_scores(texts: DataFrame, patterns: Mapping[str, float] = L.PATTERN_SCORES, gate: float = L.PATTERN_GATE) -> DataFrame:
     """(prompt_id, pattern_score, pattern_gated): the gate zeroes scores below it."""
-    folded = texts.select("prompt_id", fold(F.col("prompt_text")).alias("folded"))
-    scored = folded.select("prompt_id", score_folded(F.col("folded"), patterns).alias("pattern_score"))
+    scored = with_score(texts.select("prompt_id", "prompt_text"), patterns=patterns).drop("prompt_text")
     return scored.withColumn(
         "pattern_gated", F.when(F.col("pattern_score") >= gate, F.col("pattern_score")).otherwise(F.lit(0.0))
     )
