@@ -52,3 +52,15 @@ def softmax(values: Column) -> Column:
     peaks = F.array_repeat(F.array_max(values), F.size(values))
     lifted = F.zip_with(values, peaks, lambda v, m: F.exp(v - m))
     return divide(lifted, F.aggregate(lifted, F.lit(0.0), lambda s, v: s + v))
+
+
+def sparse(size: int, ids: Column, values: Column) -> Column:
+    """An ML sparse vector from parallel arrays of positions and values, inside the JVM."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    body = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"), ids.alias("indices"), values.alias("values")
+    )
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(body.alias("v"))), schema)["v"]
