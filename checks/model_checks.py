@@ -27,10 +27,15 @@ def small_learners():
     return LN.stack_learners(rounds=3, depth=3, trees=8, forest_depth=5)
 
 
+@lru_cache(maxsize=4)
+def _table(spark, sf):
+    return G.feature_table(prompts(spark, sf), TERMS)
+
+
 @lru_cache(maxsize=4)
 def _trained(spark, sf):
-    table, model = G.feature_table(prompts(spark, sf), TERMS)
-    return table, model, G.Guard.fit(table, G.inputs(), small_learners())
+    table, model = _table(spark, sf)
+    return table, model, G.Guard.fit(table, G.inputs(), small_learners(), meta_iterations=25)
 
 
 def linear_probe(spark, sf):
@@ -49,7 +54,7 @@ def signal_folds(spark, sf):
 def cross_validation(spark, sf):
     frame = signal_folds(spark, sf)
     learners = {
-        "logistic": LN.logistic(1000, weight="weight", max_iter=100),
+        "logistic": LN.logistic(1000, weight="weight", max_iter=25),
         "forest": LN.forest(8, 5, weight="weight"),
         "boosted": LN.boosted(3, 3, 0.1),
     }
@@ -62,7 +67,7 @@ def scored(spark, sf, split):
 
 
 def retrained(spark, sf):
-    table, _, _ = _trained(spark, sf)
+    table, _ = _table(spark, sf)
     again = G.Guard.fit(table, G.inputs(use_tfidf=False), {"forest": LN.forest(8, 5)}, splits=("train", "val"))
     return rounded(G.test_report(again.predict(table.where("split = 'test'"))))
 
@@ -75,14 +80,19 @@ def feedback_retraining(spark, sf):
     ).withColumn("threshold", F.lit(state["threshold"])))
 
 
+# The library runs all 20 experiments; six fit a check run.
+ABLATION_RUNS = ("full", "tfidf_only", "handcrafted_only", "no_text_statistics", "no_entropy_diversity", "no_linguistic")
+
+
 def feature_ablation(spark, sf):
-    table, model, _ = _trained(spark, sf)
-    return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms)))
+    table, model = _table(spark, sf)
+    runs = {n: c for n, c in G.experiments().items() if n in ABLATION_RUNS}
+    return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms), runs))
 
 
 QUERIES = {
     "linear_probe": linear_probe,
-    "feature_table": lambda s, sf: _trained(s, sf)[0].select("prompt_id", "is_malicious", "split", "fold", *L.FEATURE_NAMES),
+    "feature_table": lambda s, sf: _table(s, sf)[0].select("prompt_id", "is_malicious", "split", "fold", *L.FEATURE_NAMES),
     "stack_predictions": lambda s, sf: rounded(scored(s, sf, "test")),
     "stack_test_report": lambda s, sf: rounded(G.test_report(scored(s, sf, "test"))),
     "overfit_ratio": lambda s, sf: rounded(LN.overfit_ratio(scored(s, sf, "train"), scored(s, sf, "val"), "probability")),

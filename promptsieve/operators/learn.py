@@ -93,6 +93,7 @@ class Stack:
     learners: Mapping
     folds: int = 3
     passthrough: bool = True
+    meta_iterations: int = 1000
     models: dict = field(default_factory=dict)
     meta: object = None
 
@@ -112,7 +113,7 @@ class Stack:
                 part = _scored(learner.fit(rest), part, f"p_{name}")
             held_out.append(part)
         joined = self._meta_input(reduce(DataFrame.unionByName, held_out))
-        self.meta = logistic(train.count()).fit(joined)
+        self.meta = logistic(train.count(), max_iter=self.meta_iterations).fit(joined)
         return self
 
     def predict(self, frame: DataFrame, name: str = "score") -> DataFrame:

@@ -64,11 +64,12 @@ class Guard:
     ece: float
 
     @classmethod
-    def fit(cls, table: DataFrame, columns: Sequence[str], learners: Mapping, splits: Sequence[str] = ("train",)) -> Guard:
+    def fit(cls, table: DataFrame, columns: Sequence[str], learners: Mapping, splits: Sequence[str] = ("train",),
+            meta_iterations: int = 1000) -> Guard:
         """Fit on the splits; calibrate on one half of validation, choose the threshold on the other."""
         slim = table.select("prompt_id", "is_malicious", "split", "fold", *columns)
         ready = LN.assemble(slim, columns).select("prompt_id", "is_malicious", "split", "fold", "features")
-        stack = LN.Stack(learners).fit(ready.where(F.col("split").isin(list(splits))))
+        stack = LN.Stack(learners, meta_iterations=meta_iterations).fit(ready.where(F.col("split").isin(list(splits))))
         halves = PR.stratified_folds(table.where("split = 'val'").select("prompt_id", "is_malicious"), 2).select(
             "prompt_id", F.col("fold").alias("half")
         )
