@@ -110,15 +110,26 @@ def _nesting() -> Column:
     return F.aggregate(brackets, start, step, lambda s: s["m"]).cast("double")
 
 
-def _syllables(word: Column) -> Column:
-    groups = F.regexp_count(word, F.lit("[aeiouy]+")) - F.when(word.endswith("e"), 1).otherwise(0)
-    return F.when(F.length(word) <= 3, F.lit(1)).otherwise(F.greatest(groups, F.lit(1)))
+def _syllables() -> Column:
+    """Vowel groups per word, one less for a final e, at least 1, and 1 for short words.
+
+    Vowel groups are marked in one pass over all words, then counted by removal.
+    """
+    mark = "\x01"
+    marked = F.split(F.regexp_replace(F.array_join("w", " "), "[aeiouy]+", mark), " ")
+
+    def count(word: Column, m: Column) -> Column:
+        groups = F.octet_length(m) - F.octet_length(F.replace(m, F.lit(mark), F.lit("")))
+        silent = F.when(word.endswith("e"), 1).otherwise(0)
+        return F.when(F.length(word) <= 3, F.lit(1)).otherwise(F.greatest(groups - silent, F.lit(1)))
+
+    return F.when(F.size("w") > 0, F.zip_with("w", marked, count)).otherwise(F.array().cast("array<int>"))
 
 
 def _sentence_variance() -> Column:
     """Population variance of words per sentence."""
     sizes = F.filter(
-        F.transform(F.split(T(), "[.!?]+"), lambda s: F.size(X.words(s)).cast("double")), lambda n: n > 0
+        F.transform(F.split(T(), "[.!?]+"), lambda s: F.size(F.filter(F.split(s, L.WS + "+"), lambda w: w != "")).cast("double")), lambda n: n > 0
     )
     folded = F.aggregate(
         sizes, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
@@ -145,13 +156,20 @@ def _text_statistics() -> dict[str, Column]:
     }
 
 
+def _of_class(chars: str) -> Column:
+    """How many characters belong to a class, by the length left without them.
+
+    Counting matches would build an array of all of them.
+    """
+    return _n("nc") - F.length(F.regexp_replace(T(), f"[{chars}]+", ""))
+
+
 def _char_composition() -> dict[str, Column]:
-    digits = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
     return {
-        "uppercase_ratio": _per_char(F.regexp_count(T(), F.lit(r"\p{IsUppercase}"))),
-        "digit_ratio": _per_char(F.regexp_count(T(), F.lit(digits))),
-        "special_char_ratio": _per_char(X.hits(T(), r"[^\p{L}\p{N}\s]")),
-        "space_ratio": _per_char(X.hits(T(), r"\s")),
+        "uppercase_ratio": _per_char(_of_class(r"\p{IsUppercase}")),
+        "digit_ratio": _per_char(_of_class(r"\p{Nd}²³¹⁰⁴-⁹₀-₉")),
+        "special_char_ratio": _per_char(_of_class(r"^\p{L}\p{N}" + L.WS[1:-1])),
+        "space_ratio": _per_char(_of_class(L.WS[1:-1])),
         "newline_ratio": _per_char(_count("\n")),
         "tab_ratio": _per_char(_count("\t")),
     }
@@ -243,7 +261,10 @@ def _code_markup(corrected: bool) -> dict[str, Column]:
         lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w),
     ))
     return {
-        "caps_sequence_count": X.hits(T(), r"\b[A-Z]{2,}\b"),
+        # Two capitals are looked for first, so the word edges are rarely examined.
+        "caps_sequence_count": F.regexp_count(
+            T(), F.lit(f"(?=[A-Z]{{2}})(?<!{L.WORD})[A-Z]{{2,}}+(?!{L.WORD})")
+        ),
         # The published feature looks at lower-cased words and is always 0.
         "caps_word_count": shouted.cast("double") if corrected else F.lit(0.0),
         "has_inline_code": _capped(0.3, X.hits(T(), L.INLINE_CODE, needs=("`",))),
@@ -269,7 +290,7 @@ def _markers_roles() -> dict[str, Column]:
 
 def _nesting_structure() -> dict[str, Column]:
     marks = (
-        X.hits(T(), L.MARKDOWN_CHARS) + X.hits(T(), L.MARKDOWN_LINK, needs=("](",))
+        _count("*", "_", "`", "#") + X.hits(T(), L.MARKDOWN_LINK, needs=("](",))
         + X.hits(T(), L.BULLET_LINE, "m", needs=("-", "*", "+")) + X.hits(T(), L.NUMBERED_LINE, "m", needs=(".",))
     )
     blank = "".join(chr(c) for c in (
@@ -419,13 +440,13 @@ def _staged(texts: DataFrame) -> DataFrame:
         F.transform("w", F.length).alias("lengths"),
         X.mean_length(W()).alias("mean_length"),
         F.array_join(F.transform("w", lambda x: F.length(x).cast("string")), "").alias("length_digits"),
-        F.transform("w", _syllables).alias("syllables"),
+        _syllables().alias("syllables"),
         X.word_runs(W()).alias("word_counts"),
         F.size(F.array_distinct("w")).alias("distinct_words"),
         F.size(F.array_distinct(X.word_ngrams(W(), 2))).alias("distinct_bigrams"),
         F.size(F.array_distinct(X.word_ngrams(W(), 3))).alias("distinct_trigrams"),
         F.array_join("w", " ").alias("joined"),
-        F.regexp_count(T(), F.lit(r"\p{L}")).alias("letters"),
+        F.length(F.regexp_replace(T(), r"[^\p{L}]+", "")).alias("letters"),
         X.count_phrases(LOW(), L.ATTACK_KEYWORDS).alias("keyword_hits"),
         X.count_phrases(F.array_join("w", " "), L.TEMPORAL_MARKERS).alias("temporal_hits"),
         _members(L.MODAL_VERBS).alias("modal_hits"),
