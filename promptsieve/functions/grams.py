@@ -2,8 +2,8 @@
 
 The histogram of every overlapping character n-gram is the one text measure that is
 clearly cheaper outside the JVM expression: sorting packed 64-bit keys in numpy took
-a tenth of the time of exploding, or of sorting arrays of one-character strings, on
-the 10,000-document table.  Spark still partitions the rows; this only turns one
+about a tenth of the time of sorting arrays of n-gram strings on the 10,000-document
+table (0.85 s for three widths against some 8 s).  Spark still partitions the rows; this only turns one
 batch of texts into three numbers per text and width.
 """
 
@@ -86,7 +86,8 @@ def word_bound_counts(text: Column, sizes: Sequence[int] = (3, 4, 5), vocabulary
     """array<struct<term, tf>> of character grams inside padded words.
 
     With a vocabulary, ``term`` is the position in it and other grams are left out.
-    Cutting in Arrow batches took a tenth of the CPU time of regex look-ahead extraction.
+    With regex look-ahead extraction instead, the character similarity query took 30 s on
+    the 1,000-document table; this way it took 8 s.
     """
     sizes = tuple(sizes)
     position = None if vocabulary is None else {t: i for i, t in enumerate(vocabulary)}
