@@ -25,6 +25,7 @@ import heapq
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
