@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from promptsieve.llm.common import extended, slices
 from promptsieve.llm.words import split
 
-CACHE = 600_000
+CACHE = 1_200_000
 SLICE = 4 << 20
 LONG = 128
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 
 # A row's ``best`` is its word's next contraction, rank and position in one number; null at the fixpoint.
 STEP = """
@@ -44,16 +44,19 @@ with recursive state(word, pos, tok, best) as (
       (select word, pos, tok, lead(tok) over (partition by word order by pos) as after from bytes_of) s
       left join merges m on m.lft = s.tok and m.rgt = s.after
   union all
-    select word, pos, tok, min(m.merged::bigint << 20 | pos) over (partition by word) from
-      (select word, pos, prior, spot,
-              case when pos = spot then merged else tok end as tok,
-              case when pos = spot then second when next = spot then merged else first end as after
-       from (select word, pos, tok, best & 1048575 as spot, (best >> 20)::int as merged,
-                    lag(pos) over w as prior, lead(pos) over w as next,
-                    lead(tok) over w as first, lead(tok, 2) over w as second
-             from state where best is not null window w as (partition by word order by pos))
-       where prior is distinct from spot) s
-      left join merges m on m.lft = s.tok and m.rgt = s.after)
+    (with contracted as (
+        select word, pos,
+               case when pos = spot then merged else tok end as tok,
+               case when pos = spot then second when next = spot then merged else first end as after
+        from (select word, pos, tok, best & 1048575 as spot, (best >> 20)::int as merged,
+                     lag(pos) over w as prior, lead(pos) over w as next,
+                     lead(tok) over w as first, lead(tok, 2) over w as second
+              from state where best is not null window w as (partition by word order by pos))
+        where prior is distinct from spot),
+     paired as (select c.word, c.pos, c.tok, m.merged::bigint << 20 | c.pos as pair
+                from contracted c left join merges m on m.lft = c.tok and m.rgt = c.after),
+     least as (select word, min(pair) as best from paired group by word)
+     select p.word, p.pos, p.tok, l.best from paired p join least l using (word)))
 select word, list(tok order by pos) from state where best is null group by word"""
 
 DECODE = """
