@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsieve.llm import bpe, grace, langid, packing
+from promptsieve.llm import bpe, grace, langid, packing, toxicity
 from promptsieve.llm.common import crc_of_id, documents
 
 
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), crc_of_id("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.sample(docs, labels, ~held_out))
+    return toxicity.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.duplicates(documents(spark, sf_dir))
 
@@ -32,7 +39,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_grace_dedup, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
+    op3_compression_toxicity, op4_grace_dedup, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
 )}
 ORACLES = {
     "op4_grace_dedup": grace.ORACLE,
