@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.llm.common import slices, utf8
 
+LANGUAGES = 256      # learned at most, the most frequent ones
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 600_000
 DEPTH = 5
@@ -49,13 +50,14 @@ def sample(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "la
            per_language: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
     """Labelled texts: at most ``per_language`` rows and about ``max_bytes`` of each language.
 
-    Rows are thinned by a hash of the id at a rate from the language's row count first, so the
-    ranking that enforces the bound sees a few times the bound, whatever one language's share.
+    Rows are thinned where they are read, by a hash of the id at a rate from the language's row count,
+    so the shuffle and the ranking that enforces the bound see a few times the bound, whatever one
+    language's share.
     """
     rows = docs.filter(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         F.xxhash64(F.col(key).cast("string"), F.length(text)).alias("code"))
-    counts = rows.groupBy("lang").count()
+    counts = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
     chance = F.pmod("code", F.lit(1 << 20)) < F.lit(float(4 * per_language << 20)) / F.col("count") + 64
     order = Window.partitionBy("lang").orderBy("code", "text")
     picked = (rows.join(counts, "lang").filter(chance)
