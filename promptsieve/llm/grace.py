@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +81,10 @@ def _combine(limit: int):
             rows = batch.column(0).to_numpy()
             rep = np.array([top[n] for n in numbers], dtype=np.int64)
             is_rep = rep == rows
-            text = pa.compute.if_else(pa.array(is_rep), batch.column(2), pa.scalar(None, batch.column(2).type))
+            text = pa.array([table.contents[n] if r else None for n, r in zip(numbers, is_rep)], pa.binary())
             count = np.where(is_rep, np.array([sizes[n] for n in numbers], dtype=np.int64), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), text, *batch.columns[3:], pa.array(rep), pa.array(count),
+                [batch.column(0), batch.column(1), text.cast(pa.string()), *batch.columns[3:], pa.array(rep), pa.array(count),
                  pa.array([digests[n] for n in numbers], pa.binary())],
                 names=[*batch.schema.names, "_rep", "_count", "_digest"])
 
