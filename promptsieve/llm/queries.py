@@ -30,7 +30,7 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select(
+    return packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
