@@ -49,10 +49,8 @@ def release(spark: SparkSession) -> None:
 
 def extended(frame: DataFrame, **kinds: str) -> T.StructType:
     """The frame's schema, all nullable, and further columns."""
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema])
-    for name, kind in kinds.items():
-        schema.add(name, kind)
-    return schema
+    added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items())) if kinds else []
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in frame.schema), *added])
 
 
 def id_text(column: str) -> Column:
@@ -117,3 +115,27 @@ def folded(frame: DataFrame, blocks: Callable[[Iterator[pa.RecordBatch]], Iterat
     for row in sums.toArrow().to_pylist():
         total[row["block"] * block:(row["block"] + 1) * block] += np.frombuffer(row["counts"], "<i8")
     return total
+
+
+BITS = 1 << 23
+
+
+def bit_of(row: Column) -> Column:
+    return F.pmod(F.xxhash64(row, F.lit(11)), F.lit(BITS)).cast("int")
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Which of ``BITS`` hash buckets hold one of the rows: at most ``BITS`` numbers reach the driver.
+
+    A pre-filter that passes every wanted row and few others, until the wanted rows are many millions;
+    beyond, more rows pass it and are left to the exact join behind it.
+    """
+    found = rows.select(bit_of(F.col(column)).alias("bit")).distinct().toArrow().column(0)
+    flags = np.zeros(BITS, bool)
+    flags[np.asarray(found, dtype=np.int64)] = True
+    return np.packbits(flags)
+
+
+def passed(bits: np.ndarray, numbers: pa.Array) -> np.ndarray:
+    at = np.asarray(numbers, dtype=np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsieve.llm import bpe, grace, langid, packing, toxicity
+from promptsieve.llm import bpe, grace, jaccard, langid, packing, pii, toxicity
 from promptsieve.llm.common import crc_of_id, documents
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir), n=4, num=85, den=100).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), crc_of_id("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,6 +26,10 @@ def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.duplicates(documents(spark, sf_dir))
 
 
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(documents(spark, sf_dir), pii.train())
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_of_id("doc_id", 4) == 2
@@ -39,7 +48,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_compression_toxicity, op4_grace_dedup, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
+    op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op6_crf_pii, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
 )}
 ORACLES = {
     "op4_grace_dedup": grace.ORACLE,
