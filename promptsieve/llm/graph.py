@@ -22,11 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
 
-        def ranked(column):
-            return F.struct(F.xxhash64(F.col(column), F.lit(turn)).alias("code"), F.col(column).alias("node"))  # noqa: B023
+        def code(column):
+            return F.xxhash64(F.col(column), F.lit(turn))  # noqa: B023
 
-        step = written(both.groupBy("a").agg(F.least(F.min(ranked("b")), F.min(ranked("a"))).getField("node").alias("to"))
-                       .withColumnRenamed("a", "node"), "steps")
+        near = both.groupBy("a").agg(F.min(code("b")).alias("code"), F.min_by("b", code("b")).alias("b"))
+        step = written(near.select(F.col("a").alias("node"), F.when(F.col("code") < code("a"), F.col("b"))
+                                   .otherwise(F.col("a")).alias("to")), "steps")
         if labels is None:
             labels = step.select("node", F.col("to").alias("component"))
         else:

@@ -176,11 +176,13 @@ class Join:
             F.col("_row").alias("row"), F.col("_size").alias("n"), F.posexplode("_prefix").alias("pos", "gram"))
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
-        drawn = members.groupBy("gram").agg(
-            F.count("*").alias("members"),
-            F.min(F.struct(F.xxhash64("row", "gram").alias("code"), "row", "n", "pos")).alias("one"),
-            F.min(F.struct(F.xxhash64("gram", "row").alias("code"), "row", "n", "pos")).alias("two")).filter("members > 1")
-        return written(members.join(drawn, "gram").select(
+        def drawn(code):
+            return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos")))
+
+        hubs = members.groupBy("gram").agg(
+            F.count("*").alias("members"), drawn(F.xxhash64("row", "gram")).alias("one"),
+            drawn(F.xxhash64("gram", "row")).alias("two")).filter("members > 1")
+        return written(members.join(hubs, "gram").select(
             "gram", "row", "n", "pos", F.expr(short).alias("short"), "members", "one", "two"), "join-postings")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ class Join:
             F.col("one.row").alias("one"), F.col("two.row").alias("two"))
         named = written(named, "join-named")
         largest = (named.groupBy("gram", "part").agg(F.count("*").alias("many"))
-                   .groupBy("gram").agg(F.max(F.struct("many", "part")).getField("part").alias("largest"),
+                   .groupBy("gram").agg(F.max_by("part", "many").alias("largest"),
                                         F.count("*").alias("parts")).filter("parts > 1"))
         split = named.join(largest, "gram")
         a = split.filter("part <> largest").select(

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsieve.llm import bpe, grace, jaccard, langid, packing, pii, toxicity
+from promptsieve.llm import bpe, grace, imatch, jaccard, langid, licenses, packing, pii, toxicity
 from promptsieve.llm.common import crc_of_id, documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir), n=4, num=85, den=100).select(
         "doc_id", "n_shingles", "component_id")
@@ -30,6 +34,10 @@ def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(documents(spark, sf_dir), pii.train())
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_of_id("doc_id", 4) == 2
@@ -48,8 +56,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op6_crf_pii, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
+    op1_license_scan, op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op6_crf_pii, op7_imatch, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
 )}
 ORACLES = {
+    "op1_license_scan": licenses.oracle(),
     "op4_grace_dedup": grace.ORACLE,
 }
