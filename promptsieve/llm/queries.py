@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsieve.llm import bpe, grace, imatch, jaccard, langid, licenses, packing, pii, toxicity
+from promptsieve.llm import bpe, grace, imatch, jaccard, langid, licenses, packing, passages, pii, toxicity
 from promptsieve.llm.common import crc_of_id, documents
 
 
@@ -30,6 +30,10 @@ def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.duplicates(documents(spark, sf_dir))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(documents(spark, sf_dir))
+
+
 def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(documents(spark, sf_dir), pii.train())
 
@@ -56,7 +60,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op6_crf_pii, op7_imatch, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
+    op1_license_scan, op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op5_compact_windows, op6_crf_pii, op7_imatch, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
 )}
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
