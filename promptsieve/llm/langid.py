@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import slices, utf8
+from promptsieve.llm.common import extended, slices, utf8
 
 LANGUAGES = 256      # learned at most, the most frequent ones
 SAMPLE_DOCS = 400
@@ -34,6 +34,7 @@ SAMPLE_BYTES = 600_000
 DEPTH = 5
 CELLS = 1 << 22
 CHUNK = 256
+MOST_BITS = 10.0     # a byte, in the best language; a uniform byte costs 8, one unknown to a language more
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -170,50 +171,51 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, chunk: int
     return total
 
 
-def _predict(shared):
-    def predict(batches):
-        model = shared.value
-        for batch in slices(batches):
-            texts = batch.column(1)
-            letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-            if model is None:
-                letters[:] = False
-                best, score, rate = np.zeros(len(letters), int), np.zeros(len(letters)), np.zeros(len(letters))
-            else:
-                data, offsets = utf8(texts)
-                bits = code_lengths(model, data, offsets)
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
-                score = 1 / np.exp2(np.maximum(least[:, None] - bits, -60)).sum(axis=1)
-                rate = least / np.maximum(np.diff(offsets), 1)
-            lang = [model.languages[b] if ok else "und" for b, ok in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)),
-                 pa.array(np.where(letters, rate, 0.0)), *batch.columns[2:]],
-                names=["_key", "lang_pred", "score", "bits_per_byte", *batch.schema.names[2:]])
+def _measured(model: Model | None, texts: pa.Array):
+    """(predicted language, score, bits per byte) of each text."""
+    letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    if model is None:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    data, offsets = utf8(texts)
+    bits = code_lengths(model, data, offsets)
+    best, least = bits.argmin(axis=1), bits.min(axis=1)
+    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -60)).sum(axis=1)
+    rate = least / np.maximum(np.diff(offsets), 1)
+    return ([model.languages[b] if ok else "und" for b, ok in zip(best, letters)],
+            np.where(letters, score, 0.0), np.where(letters, rate, 0.0))
 
-    return predict
 
-
-def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key``, ``lang_pred``, ``score``, ``bits_per_byte`` of every row, and the row itself as ``_doc``."""
+def predictions(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, ``lang_pred``, ``score`` and ``bits_per_byte`` of every row; only key and text are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
-                       F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_doc"))
-    return _apply(rows, shared)
-
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
 
-def _apply(rows: DataFrame, shared) -> DataFrame:
-    from pyspark.sql import types as T
+    def apply(batches):
+        for batch in slices(batches):
+            lang, score, rate = _measured(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)],
+                names=["_key", "lang_pred", "score", "bits_per_byte"])
 
-    schema = T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()),
-                           *rows.schema[2:]])
-    return rows.mapInArrow(_predict(shared), schema)
+    return rows.mapInArrow(apply, extended(rows.select("_key"), lang_pred="string", score="double",
+                                           bits_per_byte="double")).withColumnRenamed("_key", key)
 
 
-def predictions(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``lang_pred``, ``score`` and ``bits_per_byte`` of every row; only key and text are read."""
+def accepted(docs: DataFrame, model: Model | None, text: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows, with the columns of ``docs``, whose text is in a language: it has a letter, and the best
+    language codes it in at most ``most_bits`` a byte. Without a model only the letter counts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    return _apply(rows, shared).withColumnRenamed("_key", key)
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(f"`{text}`").alias("_text"))
+
+    def apply(batches):
+        for batch in slices(batches):
+            if shared.value is None:
+                keep = [bool(t) and LETTER.search(t) is not None for t in batch.column(1).to_pylist()]
+            else:
+                lang, _, rate = _measured(shared.value, batch.column(1))
+                keep = [code != "und" and bits <= most_bits for code, bits in zip(lang, rate)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    kept = rows.mapInArrow(apply, extended(rows))
+    return kept.select(*(F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
