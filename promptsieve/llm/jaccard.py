@@ -20,7 +20,7 @@ N-grams are hashed to 64 bits; sets and intersections are of hashes.
 Defined results: words are runs of other than ASCII white space, A-Z in lower case; a document of fewer
 words than n has its whole sequence as its only n-gram; a null, empty or white-space text has none and
 is linked with nothing; rows with equal word sequences are linked; rows are told apart by their place in
-the input, which must be a table that reads the same twice, so ids may be null or repeat.
+the input, so ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import bit_of, bitmap, extended, folded, passed, slices, written
+from promptsieve.llm.common import bit_of, bitmap, extended, folded, passed, rereadable, slices, written
 from promptsieve.llm.graph import components
 
 CELLS, BLOCK = 1 << 20, 4096
 PARTS = 64
-KNOWN = 1_000_000
+KNOWN = 150_000
 SLICE = 4 << 20
 
 
@@ -153,6 +153,17 @@ def _sets(shared, n: int):
     return apply
 
 
+def _marked(shared):
+    """The members whose n-gram's bit is set: all shared n-grams and few others get to the join."""
+    def apply(batches):
+        bits = shared.value
+        for batch in batches:
+            kept = batch.filter(pa.array(passed(bits, batch.column(4))))
+            yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["row", "n", "pos", "gram"])
+
+    return apply
+
+
 class Join:
     """The steps of one join; ``num / den`` is the least similarity."""
 
@@ -172,18 +183,23 @@ class Join:
     def postings(self, prepared: DataFrame) -> DataFrame:
         """Members of prefix n-grams that two documents or more have, with two members drawn by hash."""
         num, den = self.num, self.den
-        members = prepared.filter("_prefix is not null").select(
-            F.col("_row").alias("row"), F.col("_size").alias("n"), F.posexplode("_prefix").alias("pos", "gram"))
+        listed = prepared.filter("_prefix is not null")
+        shared = written(listed.select(F.explode("_prefix").alias("gram")).groupBy("gram").count().filter("count > 1")
+                         .select("gram"), "join-grams")
+        bits = self.spark.sparkContext.broadcast(bitmap(shared, "gram"))
+        members = listed.select("_row", "_size", F.posexplode("_prefix").alias("pos", "gram")).withColumn(
+            "bit", bit_of(F.col("gram"))).mapInArrow(_marked(bits), "row long, n long, pos int, gram long").join(shared, "gram")
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
+        members = written(members.select("gram", "row", "n", "pos", F.expr(short).alias("short")), "join-members")
+
         def drawn(code):
             return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos")))
 
         hubs = members.groupBy("gram").agg(
             F.count("*").alias("members"), drawn(F.xxhash64("row", "gram")).alias("one"),
-            drawn(F.xxhash64("gram", "row")).alias("two")).filter("members > 1")
-        return written(members.join(hubs, "gram").select(
-            "gram", "row", "n", "pos", F.expr(short).alias("short"), "members", "one", "two"), "join-postings")
+            drawn(F.xxhash64("gram", "row")).alias("two"))
+        return written(members.join(hubs, "gram"), "join-postings")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, n_a, pos_a, b, n_b, pos_b) that length and position allow, each once."""
@@ -255,7 +271,7 @@ class Join:
 def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key, ``n_shingles``, ``component_id``, the smallest key that links reach
     (null if none has a key), the row's place ``_row`` and its component's name ``part``."""
-    join = Join(docs, n, num, den, key, text)
+    join = Join(rereadable(docs), n, num, den, key, text)
     prepared = join.prepared()
     groups = join.links(prepared)
     members = prepared.select("_row", "_key", "_size", F.when(F.col("_size") > 0, F.col("_rep")).otherwise(F.col("_row")).alias("node"))
@@ -274,6 +290,7 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key
     Rows to drop are named by their place. A row whose bit is unset surely stays and is passed on
     where it is read; only the others meet the exact list.
     """
+    docs = rereadable(docs)
     found = classes(docs, n, num, den, key, text).select("_row", F.col(key).alias("_key"), "part")
     best = found.groupBy("part").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("best"))
     dropped = written(found.join(best, "part").filter("_row <> best._row").select("_row"), "join-dropped")
