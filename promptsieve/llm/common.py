@@ -41,6 +41,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def rereadable(docs: DataFrame) -> DataFrame:
+    """``docs``, whose rows then have the same places in every pass: as it is if it only reads, selects and
+    filters files, else as a table written to the shared folder."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return docs if nodes <= {"Project", "Filter", "Relation"} else written(docs, "input")
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder, once their results are consumed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

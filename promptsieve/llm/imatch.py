@@ -2,7 +2,7 @@
 
 A text's terms are its lower-cased runs of letters and digits, as 64-bit hashes. The lexicon keeps
 the terms whose document frequency is within a band, that is, an inverse-document-frequency band. A text's distinct
-lexicon terms are sorted and hashed once per randomised sub-lexicon. Sub-lexicons keep a quarter, an
+lexicon terms are sorted and hashed, all and once per randomised sub-lexicon. Sub-lexicons keep a quarter, an
 eighth, ... of the lexicon, several of each size, so for any length of text some of them hold one or
 two of its terms; the share of equal hashes, among sub-lexicons that hold a term of either
 text, is the likeness. A text without lexicon terms is hashed over all its terms.
@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import written
+from promptsieve.llm.common import rereadable, written
 
 LOW, HIGH = 0.004, 0.02
 LEVELS, REPEATS = range(2, 9), 6  # sub-lexicons of 1 / 2**level of the lexicon, so many of each
@@ -80,11 +80,11 @@ def _followed(docs: DataFrame, rows: int, key: str, text: str) -> DataFrame:
 
 
 def signatures(terms: Column) -> Column:
-    """A 32-bit hash per sub-lexicon of a sorted array of codes; 0 where it holds none of them."""
+    """A 32-bit hash of all and per sub-lexicon, a sorted array of codes; 0 where it holds none."""
     def kept(mask: int) -> Column:
         return F.filter(terms, lambda c: c.bitwiseAND(F.lit(mask)) == 0)
 
-    masks = [((1 << level) - 1) << (8 * repeat + 2) for repeat in range(REPEATS) for level in LEVELS]
+    masks = [0] + [((1 << level) - 1) << (8 * repeat + 2) for repeat in range(REPEATS) for level in LEVELS]
     empty = F.hash(F.array().cast("array<bigint>"))
     return F.transform(F.array(*(F.hash(kept(m)) for m in masks)), lambda h: F.when(h != empty, h).otherwise(F.lit(0)))
 
@@ -102,6 +102,7 @@ def _text(signature: str) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row per input row: key, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited`` and ``near_next``."""
+    docs = rereadable(docs)
     rows = docs.count()
     known = lexicon(docs, rows, low, high, text)
     followed = _followed(docs, rows, key, text).withColumn("n_chars", F.length("text").cast("bigint"))
