@@ -4,7 +4,8 @@ Units of a text are its lines, its paragraphs (parted by blank lines) and the wh
 letters and digits in lower case, one space between words, and to its set of word bigrams. The
 Dice coefficient 2c / (a + b) can reach t only if a and b are within the factor (2 - t) / t of each
 other, so units whose bigram count is out of reach of every template are dropped by counting their words,
-before any bigram is made, and a unit meets only templates within its reach. The meeting is a join on
+before any bigram is made, and a unit meets only templates within its reach. Texts without any of the
+words that a match must contain are passed over by plain substring search. The meeting is a join on
 bigrams with the broadcast table of the templates' bigrams, a few hundred rows; only bigrams that a
 template has survive it, so counting shared ones moves little, and a licence line that a third of
 all documents repeat costs one row per document.
@@ -16,6 +17,11 @@ ties between templates are all reported.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +120,45 @@ def template_bigrams(templates: dict[str, str]) -> list[tuple[str, int, str]]:
     return rows
 
 
+def required(rows: list[tuple[str, int, str]], least: float, shortest: int = 5) -> tuple[list[str], list[str]]:
+    """Words and bigrams of which every unit that reaches ``least`` with any template contains one.
+
+    Such a unit shares t / (2 - t) of the template's bigrams at least. So it has one of any words that
+    leave fewer bigrams without them; they are chosen among words of ``shortest`` letters or more,
+    long ones first, which prose rarely has. A template without enough such words is known by as many
+    of its longest bigrams as leave too few others.
+    """
+    pairs: dict[str, list[str]] = {}
+    for name, _, bigram in rows:
+        pairs.setdefault(name, []).append(bigram)
+    words: set[str] = set()
+    bigrams_: set[str] = set()
+    for every in pairs.values():
+        left, need, chosen = [b.split(" ") for b in every], len(every) * least / (2 - least), []
+        while len(left) >= need:
+            counts = Counter(w for p in left for w in set(p) if len(w) >= shortest)
+            if not counts:
+                break
+            chosen.append(max(counts, key=lambda w: (counts[w] * min(len(w), 8) ** 3, w)))
+            left = [p for p in left if chosen[-1] not in p]
+        if len(left) < need and len(every) > 12:
+            words.update(chosen)
+        else:
+            missing = len(every) - math.ceil(need)
+            bigrams_.update(sorted(every, key=lambda b: (-len(b), b))[:missing + 1])
+    return sorted(words), sorted(bigrams_)
+
+
+def _telling(text: Column, rows: list[tuple[str, int, str]], least: float) -> Column:
+    """Whether a lower-case text has one of the required words or bigrams; words are looked for as substrings."""
+    words, pairs = required(rows, least)
+    tests = [text.contains(w) for w in words]
+    for pair in pairs:
+        a, b = pair.split(" ")
+        tests.append(text.contains(max(a, b, key=len)) & text.rlike(f"{a}[^a-z0-9]+{b}"))
+    return reduce(or_, tests)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST,
          templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(key, ``unit``, ``unit_no``, ``license``, ``n_bigrams``, ``shared``, ``dice``) of every unit that reaches
@@ -128,8 +173,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     def units(kind, parts):
         return F.transform(parts, lambda part, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), part.alias("part")))
 
+    telling = _telling(F.lower(whole), rows, least)
     # A unit of w words has w - 1 bigrams, equal ones included; so many distinct ones are needed at least.
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.explode(F.concat(
+    cut = docs.where(telling).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.explode(F.concat(
         units("line", F.split(whole, r"\n")), units("paragraph", F.split(whole, r"\n[ \t\r]*\n")),
         units("text", F.array(whole)))).alias("u"))
     worded = cut.select("row", "key", "u.unit", "u.unit_no", F.split(normalised(F.col("u.part")), " ").alias("words")) \
