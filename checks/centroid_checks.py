@@ -11,7 +11,12 @@ from promptsieve.operators import evaluate as E
 from promptsieve.plans import centroid_study as S
 from promptsieve.sources import tables as T
 
-PREFIXES = (16, 32, 64)  # three stand-in embedding models: leading dimensions
+# Three stand-in embedding models: the whole vector, and two transforms of every entry.
+MODELS = {
+    "plain": (lambda v: v, "v"),
+    "signed_root": (lambda v: F.signum(v) * F.sqrt(F.abs(v)), "sign(v) * sqrt(abs(v))"),
+    "rounded": (lambda v: F.floor(v * 8) / 8, "floor(v * 8) / 8"),
+}
 
 
 def vectors(spark, sf):
@@ -41,7 +46,7 @@ def dims(frame, column, name):
 
 def models(spark, sf):
     frame = vectors(spark, sf)
-    return {f"first_{k}": frame.withColumn("embedding", F.slice("embedding", 1, k)) for k in PREFIXES}
+    return {n: frame.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), f)) for n, (f, _) in MODELS.items()}
 
 
 def four_way(spark, sf):
@@ -81,9 +86,10 @@ SIM_MARGIN = "mg as (select prompt_id, max(case when class = 1 then s end) - max
 DIST_MARGIN = "mg as (select prompt_id, max(case when class = 0 then x end) - max(case when class = 1 then x end) as margin from dist group by 1)"
 
 
-def study_sql(k: int) -> str:
-    """One model's row: cosine nearest centroid on the first k dimensions."""
-    return f"""(with {VECTORS}, dims as (select prompt_id, is_malicious, cast(unnest(embedding[1:{k}]) as double) as v, generate_subscripts(embedding[1:{k}], 1) as d from vecs),
+def study_sql(name: str) -> str:
+    """One model's row: cosine nearest centroid on its vectors."""
+    return f"""(with {VECTORS}, dims as (select prompt_id, is_malicious, {MODELS[name][1]} as v, d from
+  (select prompt_id, is_malicious, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as d from vecs)),
 {means('is_malicious')}, {NORMED},
 sim as (select a.prompt_id, c.class, sum(a.v * c.u) / any_value(nrm) as s from dims a join cu c using (d) join vn using (prompt_id) group by 1, 2),
 {ARGMAX},
@@ -99,10 +105,10 @@ rk as (select pos, neg, sum(pos) over (order by p desc) - pos as above, sum(pos)
 auc as (select sum(neg * (above + pos / cast(2 as double))) / (max(np) * cast(max(nn) as double)) as auc_roc from rk),
 cc as (select sum(a.u * b.u) as centroid_similarity from cu a join cu b using (d) where a.class = 0 and b.class = 1),
 bl as (select greatest(sum(y), count(*) - sum(y)) / cast(count(*) as double) as baseline from al)
-select 'first_{k}' as model, {METRIC_SQL['accuracy']} as accuracy, f1_score, precision, recall, auc_roc, centroid_similarity, baseline from cells, w, auc, cc, bl)"""
+select '{name}' as model, {METRIC_SQL['accuracy']} as accuracy, f1_score, precision, recall, auc_roc, centroid_similarity, baseline from cells, w, auc, cc, bl)"""
 
 
-STUDY = f"st as ({' union all '.join(study_sql(k) for k in PREFIXES)})"
+STUDY = f"st as ({' union all '.join(study_sql(n) for n in MODELS)})"
 STUDY_COLUMNS = ", ".join(f"round({c}, 6) as {c}" for c in ("accuracy", "f1_score", "precision", "recall", "auc_roc", "centroid_similarity"))
 
 QUERIES = {
@@ -123,7 +129,7 @@ QUERIES = {
     "centroid_overlap": lambda s, sf: rounded(C.overlap_index(vectors(s, sf), "category")),
     "four_centroid_signals": four_way,
     "model_comparison": lambda s, sf: rounded(S.with_mean_row(S.compare_cosine(models(s, sf))).drop("baseline")),
-    "collapse_check": lambda s, sf: rounded(C.collapse_check(S.compare_cosine(models(s, sf)), F.col("baseline"), max_similarity=0.0, min_auc=1.0)
+    "collapse_check": lambda s, sf: rounded(C.collapse_check(S.compare_cosine(models(s, sf)), F.col("baseline"))
                                             .select("model", "accuracy", "auc_roc", "centroid_similarity", "collapsed")),
 }
 ORACLES = {
@@ -148,5 +154,5 @@ select prompt_id, category, prediction, round(ms, 6) as malicious_similarity fro
     "model_comparison": f"""with {STUDY}, u as (select * from st union all select 'mean', avg(accuracy), avg(f1_score), avg(precision), avg(recall), avg(auc_roc), avg(centroid_similarity), avg(baseline) from st)
 select model, {STUDY_COLUMNS} from u""",
     "collapse_check": f"""with {STUDY} select model, round(accuracy, 6) as accuracy, round(auc_roc, 6) as auc_roc, round(centroid_similarity, 6) as centroid_similarity,
-  cast(centroid_similarity > 0 and auc_roc < 1 and accuracy < baseline as integer) as collapsed from st""",
+  cast(centroid_similarity > cast(0.95 as double) and auc_roc < cast(0.55 as double) and accuracy < baseline as integer) as collapsed from st""",
 }

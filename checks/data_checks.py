@@ -20,7 +20,7 @@ from promptsieve.operators import robustness as R
 from promptsieve.operators import signals as S
 from promptsieve.sources import tables as T
 
-INFERRED = ("documents", "conversations", "pages", "benchmark", "labels")
+INFERRED = ("documents", "conversations", "pages", "benchmark")
 HALVES = {"train": 0.8, "val": 0.1, "test": 0.1}
 SPLIT_71 = {"train": 0.711, "val": 0.089, "test": 0.2}
 
@@ -30,7 +30,7 @@ def ids(spark, sf):
 
 
 def inferred(spark, sf):
-    found = [(t, *PR.infer_columns(T.table(spark, sf, t), exact=True)) for t in INFERRED if t != "labels"]
+    found = [(t, *PR.infer_columns(T.table(spark, sf, t), exact=True)) for t in INFERRED]
     return spark.createDataFrame(found, "table_name string, label_column string, text_column string")
 
 

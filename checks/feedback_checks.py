@@ -12,13 +12,18 @@ from promptsieve.operators import adapt as A
 from promptsieve.operators import patterns as P
 from promptsieve.sources import tables as T
 
-LAST = 20  # streams of the smallest tables hold about 70 events
+LAST = 200
 
 
 def feedback(spark, sf):
     return T.feedback(spark, sf)
 
 
+def busy(spark, sf):
+    """Two streams with half the events each: enough for the published 200 scores and 100 events."""
+    return feedback(spark, sf).withColumn("stream_id", F.col("stream_id") % 2)
+
+
 def windows(spark, sf):
     return A.feedback_windows(feedback(spark, sf))
 
@@ -42,10 +47,10 @@ QUERIES = {
     "adaptive_threshold": lambda s, sf: path(s, sf, "fp_ema", "threshold", block=8),
     "adaptive_threshold_clamped": lambda s, sf: path(s, sf, "fp_ema", "threshold", block=8, alpha=0.5),
     "adaptive_weights": lambda s, sf: path(s, sf, "accuracy_1", "accuracy_2", "accuracy_3", "weight_1", "weight_2", "weight_3", block=8),
-    "drift_check": lambda s, sf: rounded(A.drift(feedback(s, sf), last=LAST)),
+    "drift_check": lambda s, sf: rounded(A.drift(busy(s, sf), last=LAST)),
     "stability_check": lambda s, sf: rounded(A.stability(windows(s, sf)).drop("n_recent")),
     "error_states": lambda s, sf: rounded(A.error_states(windows(s, sf), baseline_error=0.5)),
-    "feedback_buffer": lambda s, sf: A.feedback_buffer(feedback(s, sf), size=50, minimum=40).select("stream_id", "event_id", "buffered"),
+    "feedback_buffer": lambda s, sf: A.feedback_buffer(busy(s, sf), size=5000, minimum=100).select("stream_id", "event_id", "buffered"),
     "mined_patterns": lambda s, sf: rounded(A.mine_patterns(P.flag_by_gate(prompts(s, sf)), list(L.PATTERN_SCORES))),
 }
 
@@ -71,7 +76,8 @@ p as (select stream_id, cast(0 as bigint) as rn, cast(null as bigint) as win, ca
 
 
 _EXP = "(exp(a1 - greatest(a1, a2, a3)) + exp(a2 - greatest(a1, a2, a3)) + exp(a3 - greatest(a1, a2, a3)))"
-_DRIFT = f"""{FEEDBACK},
+BUSY = FEEDBACK.replace("user_id as stream_id", "user_id % 2 as stream_id")
+_DRIFT = f"""{BUSY},
 e as (select stream_id, cast(floor(epoch(ts) / 86400) as bigint) as win, score, row_number() over (partition by stream_id order by ts, event_id) as rn from feedback),
 we as (select stream_id, win, max(rn) as upto from e group by 1, 2),
 rc as (select we.stream_id, we.win, count(*) as n_recent, avg(score) as m, stddev_pop(score) as s from we join e on e.stream_id = we.stream_id and e.rn <= we.upto and e.rn > we.upto - {LAST} group by 1, 2),
@@ -106,7 +112,7 @@ select stream_id, win, round(accuracy, 6) as accuracy, round(sd, 6) as accuracy_
     "error_states": f"""with {_W}, s as (select stream_id, win, avg(1 - accuracy) over f as m, stddev_pop(1 - accuracy) over f as sd, rn from w window f as (partition by stream_id order by win rows 99 preceding))
 select stream_id, win, round(m, 6) as mean_error, round(sd, 6) as error_std, case when rn < 10 then 'NORMAL' when m > cast(0.6 as double) then 'ROLLBACK' when m > cast(0.3 as double) then 'EMERGENCY'
   when sd > cast(0.15 as double) then 'DRIFT_WARN' else 'NORMAL' end as state from s""",
-    "feedback_buffer": f"""with {FEEDBACK}, r as (select stream_id, event_id, row_number() over (partition by stream_id order by ts desc, event_id desc) as r from feedback),
-b as (select *, count(*) over (partition by stream_id) as buffered from r where r <= 50) select stream_id, event_id, buffered from b where buffered >= 40""",
+    "feedback_buffer": f"""with {BUSY}, r as (select stream_id, event_id, row_number() over (partition by stream_id order by ts desc, event_id desc) as r from feedback),
+b as (select *, count(*) over (partition by stream_id) as buffered from r where r <= 5000) select stream_id, event_id, buffered from b where buffered >= 100""",
     "mined_patterns": mined_sql(),
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,9 @@ def stratified_rank(ids: DataFrame, strata: Sequence[str], key: str = "prompt_id
     """Adds ``rank`` (1-based, in hash order within the stratum) and ``stratum_size``.
 
     A stratum may hold a third of the table, so it is never one window partition: rows
-    are ranked inside (stratum, hash bucket), and a broadcast table of at most 4,096 rows
-    per stratum supplies the offsets.  Pass ids and strata only, not texts.
+    are ranked inside (stratum, hash bucket), and a table of at most 4,096 rows per stratum
+    supplies the offsets; it is joined as its size allows.  A null is a stratum of its own.
+    Pass ids and strata only, not texts.
     """
     hashed = ids.withColumn("_h", unit_hash(F.col(key), seed)).withColumn(
         "_b", F.floor(F.col("_h") / (SPAN // BUCKETS)).cast("int")
@@ -43,6 +46,8 @@ def stratified_rank(ids: DataFrame, strata: Sequence[str], key: str = "prompt_id
     )
     local = W.partitionBy(*strata, "_b").orderBy("_h", key)
     ranked = hashed.withColumn("_rn", F.row_number().over(local))
-    return ranked.join(F.broadcast(offsets), [*strata, "_b"]).withColumn(
+    other = {c: f"_o{i}" for i, c in enumerate([*strata, "_b"])}
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(o)) for c, o in other.items()])
+    return ranked.join(offsets.withColumnsRenamed(other), same).withColumn(
         "rank", F.col("_before") + F.col("_rn")
-    ).drop("_h", "_b", "_rn", "_before")
+    ).drop("_h", "_b", "_rn", "_before", *other.values())

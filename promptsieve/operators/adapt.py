@@ -248,10 +248,17 @@ def error_states(windows: DataFrame, baseline_error: float = 0.0, last: int = 10
 def feedback_buffer(feedback: DataFrame, size: int = 5000, minimum: int = 100) -> DataFrame:
     """The newest ``size`` events of each stream that has at least ``minimum`` of them.
 
-    The row limit is applied before the shuffle, so a hot stream sends at most ``size``
-    rows per task.
+    Events are counted per hour first, which is summed map-side; hours that newer ones already
+    fill are dropped before any event is ranked, so a hot stream is never sorted whole,
+    whatever the size.
     """
-    newest = feedback.withColumn("_r", F.row_number().over(
+    hour = F.unix_timestamp(F.col("ts").cast("timestamp")) / F.lit(3600)
+    placed = feedback.withColumn("_hour", F.floor(hour).cast("bigint"))
+    newer = W.partitionBy("stream_id").orderBy(F.col("_hour").desc()).rowsBetween(W.unboundedPreceding, -1)
+    hours = placed.groupBy("stream_id", "_hour").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < size).select("stream_id", "_hour")
+    needed = placed.join(hours, ["stream_id", "_hour"], "left_semi").drop("_hour")
+    newest = needed.withColumn("_r", F.row_number().over(
         W.partitionBy("stream_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     )).where(F.col("_r") <= size)
     held = newest.groupBy("stream_id").agg(F.count(F.lit(1)).alias("buffered")).where(F.col("buffered") >= minimum)

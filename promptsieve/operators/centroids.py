@@ -104,17 +104,27 @@ class CentroidModel:
         return F.array(*map(F.lit, self.classes))
 
 
-def _batch(function) -> Column:
-    """An Arrow function from (rows, dims) to (rows, classes) as a column function."""
+def _batch(function, dims: int, classes: int):
+    """An Arrow function from (rows, dims) to (rows, classes) as a column function.
+
+    A null vector, or one with a null entry, gives null; any other must have ``dims`` entries.
+    """
     @F.arrow_udf("array<double>")
     def apply(vectors):
         import numpy as np
         import pyarrow as pa
 
-        x = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(vectors), -1)
-        y = function(x)
-        offsets = np.arange(0, y.size + 1, y.shape[1], dtype="i4")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))
+        sizes = np.diff(np.asarray(vectors.offsets))
+        there = np.asarray(vectors.is_valid())
+        sizes = np.where(there, sizes, 0)
+        if wrong := set(sizes[there].tolist()) - {dims}:
+            raise ValueError(f"vectors of {dims} dimensions expected, found {sorted(wrong)}")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dims)
+        whole = ~np.isnan(flat).any(axis=1)
+        there[np.flatnonzero(there)[~whole]] = False
+        y = function(flat[whole])
+        offsets = np.concatenate([[0], np.cumsum(np.where(there, classes, 0))]).astype("i4")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()), mask=pa.array(~there))
 
     return apply
 
@@ -127,7 +137,7 @@ def cosine_similarities(model: CentroidModel, column: str = "embedding") -> Colu
         norms = np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), FLOOR)
         return (x / norms) @ target
 
-    return _batch(similarities)(F.col(column))
+    return _batch(similarities, *target.shape)(F.col(column))
 
 
 def euclidean_distances(model: CentroidModel, column: str = "embedding") -> Column:
@@ -138,7 +148,7 @@ def euclidean_distances(model: CentroidModel, column: str = "embedding") -> Colu
         z = (x - mean) / scale
         return np.stack([np.sqrt(((z - c) ** 2).sum(axis=1)) for c in centroids], axis=1)
 
-    return _batch(distances)(F.col(column))
+    return _batch(distances, centroids.shape[1], len(centroids))(F.col(column))
 
 
 def argmax_class(model: CentroidModel, values: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from promptsieve import lexicon as L
 from promptsieve.functions.hashing import SPAN, stratified_rank, unit_hash
-from promptsieve.functions.joins import lookup
 
 
 def infer_columns(frame: DataFrame, exact: bool = False) -> tuple[str, str]:
@@ -43,13 +42,14 @@ def class_distribution(frame: DataFrame, label: str = "is_malicious") -> DataFra
     return frame.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def require_two_classes(frame: DataFrame, label: str = "is_malicious") -> dict[int, int]:
-    """Counts per class; raises if the table is empty or has fewer than two classes."""
-    counts = {r[label]: r["n"] for r in class_distribution(frame, label).limit(3).collect()}
-    if not counts:
+def require_two_classes(frame: DataFrame, label: str = "is_malicious") -> DataFrame:
+    """Counts of every class; raises if the table is empty or has fewer than two classes."""
+    counts = class_distribution(frame, label)
+    found = counts.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows")).first()
+    if not found["classes"]:
         raise ValueError("no rows")
-    if len(counts) < 2:
-        raise ValueError(f"only one class: {counts}")
+    if found["classes"] < 2:
+        raise ValueError(f"only one class in {found['rows']} rows")
     return counts
 
 
@@ -113,9 +113,8 @@ def reconcile_labels(prompts: DataFrame, label: str = "is_malicious") -> DataFra
     keyed = prompts.select("prompt_id", label, *text_key())
     conflicts = keyed.groupBy("text_hash", "text_length").agg(F.avg(F.col(label).cast("double")).alias("share")).where(
         (F.col("share") > 0) & (F.col("share") < 1)
-    ).select(F.concat_ws(":", "text_hash", "text_length").alias("text_id"), (F.col("share") >= 0.5).cast("int").alias("majority"))
-    facts = keyed.select("prompt_id", label, F.concat_ws(":", "text_hash", "text_length").alias("text_id"))
-    return lookup(facts, conflicts, "text_id", spread_by="prompt_id").select(
+    ).select("text_hash", "text_length", (F.col("share") >= 0.5).cast("int").alias("majority"))
+    return keyed.join(conflicts, ["text_hash", "text_length"], "left").select(
         "prompt_id", label, F.coalesce("majority", label).alias("reconciled")
     )
 
@@ -125,9 +124,9 @@ def length_filter(texts: DataFrame, shortest: int = 5, longest: int = 20_000, te
 
 
 def downsample_category(frame: DataFrame, category: str, keep: float, column: str = "attack_category", seed: int = 42) -> DataFrame:
-    """Keeps the share ``keep`` of one category by hash, and all other rows."""
+    """Keeps the share ``keep`` of one category by hash, and all other rows, those without category too."""
     return frame.where(
-        (F.col(column) != category) | (unit_hash(F.col("prompt_id"), seed) < F.lit(int(keep * SPAN)))
+        ~F.col(column).eqNullSafe(F.lit(category)) | (unit_hash(F.col("prompt_id"), seed) < F.lit(int(keep * SPAN)))
     )
 
 
@@ -153,11 +152,11 @@ def normalise_external(sets: Sequence[ExternalSet]) -> DataFrame:
 
 
 def cap_datasets(ids: DataFrame, caps: Mapping[str, int] | int, seed: int = 42) -> DataFrame:
-    """At most the cap of each dataset, the first in hash order."""
+    """At most the cap of each dataset, the first in hash order; datasets without a cap stay whole."""
     if isinstance(caps, int):
         cap = F.lit(caps)
     else:
-        cap = F.coalesce(*[F.when(F.col("dataset") == n, F.lit(c)) for n, c in caps.items()], F.lit(0))
+        cap = F.coalesce(*[F.when(F.col("dataset") == n, F.lit(c)) for n, c in caps.items()], F.col("stratum_size"))
     ranked = stratified_rank(ids, ["dataset"], key="item_id", seed=seed)
     return ranked.where(F.col("rank") <= cap).drop("rank", "stratum_size")
 

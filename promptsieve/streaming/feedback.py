@@ -37,11 +37,17 @@ WINDOWS = (
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder; a local one only if none is set."""
+    """A fresh folder below ``spark.checkpoint.dir``, which every executor must reach.
+
+    Without that setting a ``local[...]`` session, whose only machine shares everything, gets a
+    temporary folder; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="promptsieve-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def closed_windows(feedback: DataFrame, seconds: int = A.DAY, delay: str = "1 hour") -> DataFrame:
