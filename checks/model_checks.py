@@ -9,8 +9,11 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from checks.data_checks import hashed, rank_sql, split_sql
+from checks.feature_checks import ORACLES as FEATURES
 from checks.scorer_checks import prompts
 from checks.signal_checks import rounded, half
+from checks.sql import LABELS
 from promptsieve import lexicon as L
 from promptsieve.operators import adapt as A
 from promptsieve.operators import evaluate as E
@@ -19,8 +22,10 @@ from promptsieve.operators import prepare as PR
 from promptsieve.operators import signals as S
 from promptsieve.plans import guard as G
 from promptsieve.sources import tables as T
+from promptsieve.streaming import feedback as SF
 
 TERMS = 500
+FOLDS = 5
 
 
 def small_learners():
@@ -47,18 +52,20 @@ def signal_folds(spark, sf):
     texts = T.seeded_texts(spark, sf)
     frame = S.signals(texts, S.collect_stats(texts)).join(T.labels(spark, sf), "prompt_id").select(
         "prompt_id", "is_malicious", *L.SIGNALS)
-    folds = PR.stratified_folds(T.labels(spark, sf).select("prompt_id", "is_malicious"), 3).select("prompt_id", "fold")
-    return frame.join(folds, "prompt_id").persist()
+    folds = PR.stratified_folds(T.labels(spark, sf).select("prompt_id", "is_malicious"), FOLDS).select("prompt_id", "fold")
+    target = SF.shared_folder(spark, "signals")
+    frame.join(folds, "prompt_id").write.parquet(target)
+    return spark.read.parquet(target)
 
 
 def cross_validation(spark, sf):
     frame = signal_folds(spark, sf)
     learners = {
-        "logistic": LN.logistic(1000, weight="weight", max_iter=25),
+        "logistic": LN.logistic(frame.count(), weight="weight"),
         "forest": LN.forest(8, 5, weight="weight"),
         "boosted": LN.boosted(3, 3, 0.1),
     }
-    return rounded(LN.cross_validate(frame, L.SIGNALS, learners, folds=3))
+    return rounded(LN.cross_validate(frame, L.SIGNALS, learners, folds=FOLDS))
 
 
 def scored(spark, sf, split):
@@ -80,19 +87,14 @@ def feedback_retraining(spark, sf):
     ).withColumn("threshold", F.lit(state["threshold"])))
 
 
-# The library runs all 20 experiments; six fit a check run.
-ABLATION_RUNS = ("full", "tfidf_only", "handcrafted_only", "no_text_statistics", "no_entropy_diversity", "no_linguistic")
-
-
 def feature_ablation(spark, sf):
     table, model = _table(spark, sf)
-    runs = {n: c for n, c in G.experiments().items() if n in ABLATION_RUNS}
-    return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms), runs))
+    return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms)))
 
 
 QUERIES = {
     "linear_probe": linear_probe,
-    "feature_table": lambda s, sf: _table(s, sf)[0].select("prompt_id", "is_malicious", "split", "fold", *L.FEATURE_NAMES),
+    "feature_table": lambda s, sf: rounded(_table(s, sf)[0].select("prompt_id", "is_malicious", "split", "fold", *L.FEATURE_NAMES)),
     "stack_predictions": lambda s, sf: rounded(scored(s, sf, "test")),
     "stack_test_report": lambda s, sf: rounded(G.test_report(scored(s, sf, "test"))),
     "overfit_ratio": lambda s, sf: rounded(LN.overfit_ratio(scored(s, sf, "train"), scored(s, sf, "val"), "probability")),
@@ -104,4 +106,10 @@ QUERIES = {
     "feedback_retraining": feedback_retraining,
     "feature_ablation": feature_ablation,
 }
-ORACLES: dict[str, str] = {}
+# The table's features are those of features_all; its split and folds are ranks within the classes.
+ORACLES = {
+    "feature_table": f"""with {LABELS}, {rank_sql('labelled', 'is_malicious')},
+sp as (select prompt_id, is_malicious, {split_sql('(rank - 0.5) / cast(size as double)', G.SHARES)} from rk),
+fo as (select prompt_id, is_malicious, split, cast((row_number() over (partition by split, is_malicious order by {hashed('prompt_id', 43)}, prompt_id) - 1) % 3 as integer) as fold from sp)
+select fo.*, f.* exclude (prompt_id) from fo join ({FEATURES['features_all']}) f using (prompt_id)""",
+}
