@@ -138,10 +138,14 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
     A pre-filter that passes every wanted row and few others, until the wanted rows are many millions;
     beyond, more rows pass it and are left to the exact join behind it.
     """
-    found = rows.select(bit_of(F.col(column)).alias("bit")).distinct().toArrow().column(0)
-    flags = np.zeros(BITS, bool)
-    flags[np.asarray(found, dtype=np.int64)] = True
-    return np.packbits(flags)
+    return flags(rows.select(bit_of(F.col(column)).alias("bit")))
+
+
+def flags(bits: DataFrame) -> np.ndarray:
+    """The numbers in ``bit``, below ``BITS``, as a bitmap."""
+    found = np.zeros(BITS, bool)
+    found[np.asarray(bits.distinct().toArrow().column(0), dtype=np.int64)] = True
+    return np.packbits(found)
 
 
 def passed(bits: np.ndarray, numbers: pa.Array) -> np.ndarray:

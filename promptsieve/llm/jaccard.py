@@ -9,11 +9,13 @@ length, position and, per pair, by a bound on the overlap from the sets' histogr
 is verified once, by intersecting the whole sets.
 
 What is wanted are the connected documents, not all pairs: a posting of k near copies has k(k-1)/2 of
-them. So first every member of a posting is tested against two members drawn by hash (all pairs
-of a posting of two), and the verified links are contracted to components. Then, exactly, the pairs of
-a posting that are still in different components are tested, except that the members of its largest
-component need not be paired among themselves. No link between different components is
-left untested, and a group of copies costs its size, not its square.
+them. So first every member of a posting is tested against two members (all pairs of a posting of two):
+the one whose prefix has fewest n-grams of its own, of a family the least edited, and one drawn by hash.
+Both are the same in all postings of a family. The verified links are contracted to components, members
+outside the largest component of a posting are tested against two more, and components are formed
+anew. Then, exactly, the pairs of a posting that are still in different components are tested, except
+that the members of its largest component need not be paired among themselves. No link between
+different components is left untested, and a group of copies costs its size, not its square.
 
 N-grams are hashed to 64 bits; sets and intersections are of hashes.
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import bit_of, bitmap, extended, folded, passed, rereadable, slices, written
+from promptsieve.llm.common import BITS, bit_of, bitmap, extended, flags, folded, passed, rereadable, slices, written
 from promptsieve.llm.graph import components
 
 CELLS, BLOCK = 1 << 20, 4096
@@ -103,7 +105,7 @@ def _prefixes(shared, n: int, num: int, den: int):
     def flush(rows, keys, reps, sizes, digests, parts, prefixes):
         return pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.int64()), keys, pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
+             pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int8())), pa.array(prefixes, pa.list_(pa.int64()))],
             names=["_row", "_key", "_rep", "_size", "_digest", "_parts", "_prefix"])
 
     def apply(batches):
@@ -130,7 +132,8 @@ def _prefixes(shared, n: int, num: int, den: int):
                 length = size - -(-num * size // den) + 1
                 ranked = codes[np.lexsort((codes, order[_cells(codes)]))[:length]]
                 digests.append(digest)
-                parts.append(np.bincount((codes >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                part = np.bincount((codes >> np.uint64(58)).astype(np.int64), minlength=PARTS)
+                parts.append(part.astype(np.int8) if part.max() < 128 else None)  # none: nothing is ruled out
                 prefixes.append(ranked.view(np.int64))
             yield flush(rows, batch.column(1), reps, sizes, digests, parts, prefixes)
 
@@ -154,16 +157,38 @@ def _sets(shared, n: int):
 
 
 def _marked(shared):
-    """The members whose n-gram's bit is set: all shared n-grams and few others get to the join."""
+    """(row, n, pos, gram, centre) of the prefix n-grams whose bit is set: all shared ones and few others.
+
+    ``centre`` ranks documents as representatives: least the one whose prefix has fewest n-grams of its
+    own, which of a family of near copies is the least edited one.
+    """
     def apply(batches):
         bits = shared.value
         for batch in batches:
-            kept = batch.filter(pa.array(passed(bits, batch.column(4))))
-            yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["row", "n", "pos", "gram"])
+            prefixes = batch.column(2)
+            lengths = np.asarray(pa.compute.list_value_length(prefixes), dtype=np.int64)
+            grams_ = prefixes.flatten()
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            codes = np.asarray(grams_)
+            kept = np.flatnonzero(passed(bits, pa.array(codes & (BITS - 1))))
+            rows = np.asarray(batch.column(0))
+            own = lengths - np.bincount(owner[kept], minlength=len(lengths))
+            drawn = (rows.astype(np.uint64) * ODD[0] >> np.uint64(32)).astype(np.int64)
+            centre = (own << 32) + drawn
+            at = owner[kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[at]), pa.array(np.asarray(batch.column(1))[at]), pa.array(pos[kept].astype(np.int32)),
+                 pa.array(codes[kept]), pa.array(centre[at])], names=["row", "n", "pos", "gram", "centre"])
 
     return apply
 
 
+def _drawn(code):
+    """The member of least code that is not null."""
+    return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos")))
+
+
 class Join:
     """The steps of one join; ``num / den`` is the least similarity."""
 
@@ -177,28 +202,25 @@ class Join:
     def prepared(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(frequencies(self.rows, self.n))
         schema = extended(self.rows.select("_row", "_key"), _rep="long", _size="long", _digest="binary",
-                          _parts="array<int>", _prefix="array<bigint>")
+                          _parts="array<tinyint>", _prefix="array<bigint>")
         return written(self.rows.mapInArrow(_prefixes(order, self.n, self.num, self.den), schema), "join-prefixes")
 
     def postings(self, prepared: DataFrame) -> DataFrame:
-        """Members of prefix n-grams that two documents or more have, with two members drawn by hash."""
+        """Members of prefix n-grams that two documents or more have, with two members that represent them."""
         num, den = self.num, self.den
         listed = prepared.filter("_prefix is not null")
         shared = written(listed.select(F.explode("_prefix").alias("gram")).groupBy("gram").count().filter("count > 1")
                          .select("gram"), "join-grams")
-        bits = self.spark.sparkContext.broadcast(bitmap(shared, "gram"))
-        members = listed.select("_row", "_size", F.posexplode("_prefix").alias("pos", "gram")).withColumn(
-            "bit", bit_of(F.col("gram"))).mapInArrow(_marked(bits), "row long, n long, pos int, gram long").join(shared, "gram")
+        bits = self.spark.sparkContext.broadcast(flags(
+            shared.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit"))))
+        members = listed.select("_row", "_size", "_prefix").mapInArrow(
+            _marked(bits), "row long, n long, pos int, gram long, centre long").join(shared, "gram")
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
-        members = written(members.select("gram", "row", "n", "pos", F.expr(short).alias("short")), "join-members")
-
-        def drawn(code):
-            return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos")))
-
+        members = written(members.select("gram", "row", "n", "pos", "centre", F.expr(short).alias("short")), "join-members")
         hubs = members.groupBy("gram").agg(
-            F.count("*").alias("members"), drawn(F.xxhash64("row", "gram")).alias("one"),
-            drawn(F.xxhash64("gram", "row")).alias("two"))
+            F.count("*").alias("members"), _drawn(F.col("centre")).alias("one"),
+            _drawn(F.xxhash64("row")).alias("two"))
         return written(members.join(hubs, "gram"), "join-postings")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
@@ -218,8 +240,8 @@ class Join:
         both = (pairs.join(side(known, "a", ["_size", "_digest", "_parts"]), "a")
                 .join(side(known, "b", ["_size", "_digest", "_parts"]), "b")
                 .withColumnsRenamed({"size_a": "n_a", "size_b": "n_b"}))
-        bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        left = written(both.withColumn("bound", bound).withColumn("equal", F.expr("digest_a = digest_b"))
+        bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
+        left = written(both.withColumn("bound", F.coalesce(bound, F.least("n_a", "n_b"))).withColumn("equal", F.expr("digest_a = digest_b"))
                        .filter("equal or " + self.enough.format(overlap="bound"))
                        .select("a", "b", "n_a", "n_b", "equal"), "join-candidates")
         rest = left.filter("not equal")
@@ -235,36 +257,57 @@ class Join:
     def links(self, prepared: DataFrame) -> DataFrame:
         """(node, component) of linked representatives."""
         postings = self.postings(prepared)
-        drawn = postings.select("gram", "row", "n", "pos", "short", F.explode(F.array("one", "two")).alias("hub"))
-        first = drawn.select(
-            F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
-            F.col("hub.row").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b")).filter("a <> b")
-        found = written(self.verified(self._filtered(first), prepared), "join-links")
+        pairs = written(self._filtered(self._against(postings, F.array("one", "two"))), "join-pairs")
+        found = written(self.verified(pairs, prepared), "join-links")
         groups = components(found)
-        more = self._across(postings.filter("members > 2"), groups)
+        # Once more for members still apart from the largest component of their posting.
+        named = self._named(postings.filter("members > 2"), groups)
+        apart = named.filter("part <> largest")
+        hubs = named.groupBy("gram").agg(
+            _drawn(F.when(F.col("part") == F.col("largest"), F.col("centre"))).alias("three"),
+            _drawn(F.when(F.col("part") != F.col("largest"), F.col("centre"))).alias("four"))
+        more = written(self._filtered(self._against(apart.join(hubs, "gram"), F.array("three", "four")))
+                       .join(pairs, ["a", "b"], "left_anti"), "join-pairs")
         again = written(self.verified(more, prepared), "join-links")
-        return groups if again.isEmpty() else components(found.union(again))
-
-    def _across(self, postings: DataFrame, groups: DataFrame) -> DataFrame:
-        """The pairs of a posting that are in different components and not tested yet."""
-        named = postings.join(groups.withColumnRenamed("node", "row"), "row", "left").select(
-            "gram", "row", "n", "pos", "short", F.coalesce("component", "row").alias("part"),
-            F.col("one.row").alias("one"), F.col("two.row").alias("two"))
-        named = written(named, "join-named")
-        largest = (named.groupBy("gram", "part").agg(F.count("*").alias("many"))
-                   .groupBy("gram").agg(F.max_by("part", "many").alias("largest"),
-                                        F.count("*").alias("parts")).filter("parts > 1"))
-        split = named.join(largest, "gram")
-        a = split.filter("part <> largest").select(
+        if not again.isEmpty():
+            found = found.union(again)
+            groups = components(found)
+            named = self._named(postings.filter("members > 2"), groups)
+        rest = self._across(named).join(pairs.union(more), ["a", "b"], "left_anti")
+        last = written(self.verified(rest, prepared), "join-links")
+        return groups if last.isEmpty() else components(found.union(last))
+
+    @staticmethod
+    def _against(members: DataFrame, hubs) -> DataFrame:
+        """Every member with the documents that represent its posting."""
+        return members.select("gram", "row", "n", "pos", F.explode(hubs).alias("hub")).select(
+            F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
+            F.col("hub.row").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b")).filter("a <> b")
+
+    @staticmethod
+    def _named(postings: DataFrame, groups: DataFrame) -> DataFrame:
+        """Postings that hold several components, their members with their own and the largest one."""
+        members = postings.select("gram", "row", "n", "pos", "centre", "short").join(
+            groups.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row"))
+        members = written(members.drop("component"), "join-named")
+        largest = (members.groupBy("gram", "part").agg(F.count("*").alias("many"))
+                   .groupBy("gram").agg(F.max_by("part", "many").alias("largest"), F.count("*").alias("parts"))
+                   .filter("parts > 1").drop("parts"))
+        return written(members.join(largest, "gram"), "join-named")
+
+    def _across(self, named: DataFrame) -> DataFrame:
+        """The pairs of a posting that are in different components."""
+        a = named.filter("part <> largest").select(
             "gram", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
-            F.col("short").alias("short_a"), F.col("part").alias("part_a"), "one", "two")
-        b = split.select(
+            F.col("short").alias("short_a"), F.col("part").alias("part_a"))
+        b = named.select(
             "gram", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
             F.col("short").alias("short_b"), F.col("part").alias("part_b"), "largest")
         pairs = a.join(b, "gram").filter(
-            "part_a <> part_b and (part_b = largest or a < b) and a not in (one, two) and b not in (one, two) and "
+            "part_a <> part_b and (part_b = largest or a < b) and "
             "case when n_a < n_b then short_a when n_b < n_a then short_b else short_a or short_b end and "
-            f"{self.den} * least(n_a, n_b) >= {self.num} * greatest(n_a, n_b)")
+            f"{self.den} * least(n_a, n_b) >= {self.num} * greatest(n_a, n_b) and "
+            + self.enough.format(overlap="(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"))
         return self._filtered(pairs)
 
 
