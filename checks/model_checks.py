@@ -9,18 +9,23 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from checks.data_checks import hashed, rank_sql, split_sql
+from checks.data_checks import external, hashed, rank_sql, split_sql
 from checks.feature_checks import ORACLES as FEATURES
 from checks.scorer_checks import prompts
 from checks.signal_checks import rounded, half
 from checks.sql import LABELS
 from promptsieve import lexicon as L
 from promptsieve.operators import adapt as A
+from promptsieve.operators import compare as CP
 from promptsieve.operators import evaluate as E
+from promptsieve.operators import keywords as K
 from promptsieve.operators import learn as LN
 from promptsieve.operators import prepare as PR
+from promptsieve.operators import robustness as R
 from promptsieve.operators import signals as S
+from promptsieve.operators import tfidf as TF
 from promptsieve.plans import guard as G
+from promptsieve.plans import screen as SC
 from promptsieve.sources import tables as T
 from promptsieve.streaming import feedback as SF
 
@@ -92,7 +97,29 @@ def feature_ablation(spark, sf):
     return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms)))
 
 
+@lru_cache(maxsize=4)
+def _screener(spark, sf):
+    table, model, guard = _trained(spark, sf)
+    frame = prompts(spark, sf)
+    target = SF.shared_folder(spark, "keywords")
+    K.fit_keywords(frame).write.parquet(target)
+    return SC.Screener(guard, model, TF.Similarity.fit(frame, TERMS, "word"), TF.Similarity.fit(frame, TERMS, "char"),
+                       spark.read.parquet(target))
+
+
+def scored_cross_dataset(spark, sf):
+    every = external(spark, sf)
+    sets = {n: (lambda n=n: every.where(F.col("dataset") == n)) for n in ("goals", "typed")}
+    sets["missing"] = lambda: spark.read.parquet(f"{sf}/not-there.parquet")
+    judged, failed = SC.judged_sets(sets, _screener(spark, sf).detect)
+    skipped = spark.createDataFrame([(n, 0) for n in failed], "dataset string, n long")
+    return rounded(CP.by_dataset(judged).unionByName(skipped, allowMissingColumns=True))
+
+
 QUERIES = {
+    "scored_prompts": lambda s, sf: rounded(_screener(s, sf).score(prompts(s, sf))),
+    "scored_robustness": lambda s, sf: R.detection_report(R.sample_malicious(prompts(s, sf), 200), _screener(s, sf).detect),
+    "scored_cross_dataset": scored_cross_dataset,
     "linear_probe": linear_probe,
     "feature_table": lambda s, sf: rounded(_table(s, sf)[0].select("prompt_id", "is_malicious", "split", "fold", *L.FEATURE_NAMES)),
     "stack_predictions": lambda s, sf: rounded(scored(s, sf, "test")),
