@@ -12,31 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.llm import grace, jaccard, langid, packing, pii
-from promptsieve.llm.common import documents, written
+from promptsieve.llm.common import documents, ship, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are in no language (no letter, or worse than unknown bytes in every one)."""
+    ship(spark)
     return langid.accepted(docs, langid.train(langid.sample(docs, F.lit(True))))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the largest id."""
+    ship(spark)
     return grace.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of documents linked by a Jaccard index of 0.8 on five-word shingles the one with the smallest id."""
+    ship(spark)
     return jaccard.deduplicated(docs, n=5, num=80, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets and counts the characters anew."""
+    ship(spark)
     return pii.masked(docs, pii.train()).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, neighbours along the curve together, with their ids."""
+    ship(spark)
     return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
