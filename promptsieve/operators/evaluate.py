@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -169,6 +170,9 @@ def calibration_error(frame: DataFrame, score: str = SCORE, label: str = LABEL,
     )
 
 
+BUCKET_SCORES, MOST_BUCKETS = 1_000_000, 8192
+
+
 def quantile_splits(frame: DataFrame, score: str = SCORE, buckets: int = 64) -> list[float]:
     """Distinct approximate quantiles; at most ``buckets`` - 1 numbers reach the driver."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -178,7 +182,7 @@ def quantile_splits(frame: DataFrame, score: str = SCORE, buckets: int = 64) ->
 
 def ranked(
     frame: DataFrame, score: str = SCORE, label: str = LABEL, splits: Sequence[float] | None = None,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct score with cumulative counts from the top.
 
@@ -186,17 +190,26 @@ def ranked(
     next_pos / next_neg, the counts at the next lower score (null at the end).
 
     Ties are collapsed by the first aggregation, so a score held by a third of the
-    rows is one row.  The order is then resolved inside quantile buckets, and a table
-    of at most len(splits) + 1 bucket totals supplies the offsets.
+    rows is one row.  The order is then resolved inside quantile buckets, of about
+    ``BUCKET_SCORES`` distinct scores unless ``buckets`` is given, and a table of at most
+    len(splits) + 1 bucket totals supplies the offsets.
     """
     if splits is None:
+        if buckets is None:
+            scores = frame.agg(F.approx_count_distinct(score)).first()[0]
+            buckets = min(MOST_BUCKETS, max(64, scores // BUCKET_SCORES))
         splits = quantile_splits(frame, score, buckets)
     y = F.col(label)
     grouped = (
         frame.groupBy(F.col(score).alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("bucket", grid_index(F.col("score"), splits))
     )
+    if len(splits) <= 256:
+        grouped = grouped.withColumn("bucket", grid_index(F.col("score"), splits))
+    else:  # by binary search
+        cuts = [float("-inf"), *splits, float("inf")]
+        grouped = Bucketizer(splits=cuts, inputCol="score", outputCol="_bucket", handleInvalid="keep").transform(
+            grouped).withColumn("bucket", F.col("_bucket").cast("int")).drop("_bucket")
     totals = grouped.groupBy("bucket").agg(
         F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"),
         F.max_by(F.struct("pos", "neg"), "score").alias("top"),

@@ -36,7 +36,7 @@ def test_ranking_metrics_with_a_hot_score(scored):
     pos = [s for _, y, s in rows if y]
     neg = [s for _, y, s in rows if not y]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    for buckets in (2, 16):
+    for buckets in (2, 16, 300, None):
         rank = E.ranked(frame, buckets=buckets)
         got = E.ranking_metrics(rank).first()
         assert got["roc_auc"] == pytest.approx(auc)
