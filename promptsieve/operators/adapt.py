@@ -25,11 +25,16 @@ COMPONENTS = ("pattern", "similarity", "model")
 KEYS = ("stream_id", "win")
 
 
-def window_index(ts: Column, seconds: int) -> Column:
+def instant(frame: DataFrame, column: str = "ts") -> Column:
+    """The column as an instant; a wall-clock time without zone is taken as UTC, whatever the session's zone."""
+    if dict(frame.dtypes)[column] == "timestamp_ntz":
+        return F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
+    return F.col(column).cast("timestamp")
+
+
+def window_index(frame: DataFrame, seconds: int, column: str = "ts") -> Column:
     """Number of the tumbling window since the epoch, independent of the session time zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    elapsed = F.timestamp_diff("SECOND", epoch, ts.cast("timestamp_ntz"))
-    return F.floor(elapsed / F.lit(seconds)).cast("bigint")
+    return F.floor(F.unix_timestamp(instant(frame, column)) / F.lit(seconds)).cast("bigint")
 
 
 def with_rates(cells: DataFrame, published: bool = False) -> DataFrame:
@@ -51,7 +56,7 @@ def with_rates(cells: DataFrame, published: bool = False) -> DataFrame:
 def feedback_windows(feedback: DataFrame, seconds: int = DAY, published: bool = False) -> DataFrame:
     """Confusion counts and rates per (stream_id, win)."""
     p, y = F.col("pred"), F.col("label")
-    cells = feedback.groupBy("stream_id", window_index(F.col("ts"), seconds).alias("win")).agg(
+    cells = feedback.groupBy("stream_id", window_index(feedback, seconds).alias("win")).agg(
         F.count_if((p == 1) & (y == 1)).alias("tp"), F.count_if((p == 1) & (y == 0)).alias("fp"),
         F.count_if((p == 0) & (y == 1)).alias("fn"), F.count_if((p == 0) & (y == 0)).alias("tn"),
     )
@@ -172,7 +177,7 @@ def recent_scores(feedback: DataFrame, seconds: int = DAY, last: int = 200) -> D
     then goes only to the following windows that still need it: at most ``last`` rows
     arrive at any window, whatever the size of the stream.
     """
-    keyed = feedback.select("stream_id", window_index(F.col("ts"), seconds).alias("win"), "ts", "event_id", "score")
+    keyed = feedback.select("stream_id", window_index(feedback, seconds).alias("win"), "ts", "event_id", "score")
     newest = keyed.withColumn("r", F.row_number().over(
         W.partitionBy(*KEYS).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     )).where(F.col("r") <= last).drop("ts", "event_id")

@@ -27,6 +27,7 @@ from promptsieve.functions import vectors as V
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FLOOR = 1e-8
+MOST_CLASSES = 10_000
 
 
 def l2_normalise(frame: DataFrame, column: str = "embedding", floor: float = FLOOR) -> DataFrame:
@@ -76,14 +77,18 @@ class CentroidModel:
     scale: np.ndarray | None = None
 
     @classmethod
-    def _ordered(cls, rows) -> tuple[tuple, np.ndarray]:
+    def _ordered(cls, means: DataFrame) -> tuple[tuple, np.ndarray]:
+        """One row per class, of which there may be ``MOST_CLASSES``; rows without class are left out."""
+        rows = means.where("class is not null").limit(MOST_CLASSES + 1).collect()
+        if len(rows) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} classes")
         rows = sorted(rows, key=lambda r: r["class"])
         return tuple(r["class"] for r in rows), np.array([r["centroid"] for r in rows], dtype="f8")
 
     @classmethod
     def fit_cosine(cls, frame: DataFrame, by: str, column: str = "embedding") -> CentroidModel:
         """Unit centroids for cosine similarity.  Collects one row per class."""
-        classes, raw = cls._ordered(class_means(frame, by, column).collect())
+        classes, raw = cls._ordered(class_means(frame, by, column))
         norms = np.linalg.norm(raw, axis=1, keepdims=True)
         return cls(classes, raw / np.where(norms > FLOOR, norms, 1.0), raw)
 
@@ -94,7 +99,7 @@ class CentroidModel:
         Standardising is affine, so the mean of scaled vectors is the scaled mean and
         one aggregation per class plus one for the scale is enough.
         """
-        classes, raw = cls._ordered(class_means(frame, by, column).collect())
+        classes, raw = cls._ordered(class_means(frame, by, column))
         stats = scale_statistics(frame, column).first()
         mean, scale = np.array(stats["mean"]), np.array(stats["scale"])
         return cls(classes, (raw - mean) / scale, raw, mean, scale)

@@ -56,7 +56,7 @@ def closed_windows(feedback: DataFrame, seconds: int = A.DAY, delay: str = "1 ho
     ``feedback`` has stream_id, ts, pred and label.  Later events are dropped and show
     up in the query's progress as numRowsDroppedByWatermark.
     """
-    stamped = feedback.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    stamped = feedback.withColumn("ts", A.instant(feedback)).withWatermark("ts", delay)
     p, y = F.col("pred"), F.col("label")
     cells = stamped.groupBy("stream_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(
         F.count_if((p == 1) & (y == 1)).alias("tp"), F.count_if((p == 1) & (y == 0)).alias("fp"),
@@ -146,7 +146,11 @@ def run_to_end(stream: DataFrame, target: str) -> DataFrame:
 
 
 def replay(spark: SparkSession, feedback: DataFrame, **options) -> DataFrame:
-    """Both queries in turn over a bounded feedback stream."""
+    """Both queries in turn over a bounded feedback stream.
+
+    A window is emitted once a later event moves the watermark past its end, so a feed's last windows,
+    those that end within ``delay`` of its newest event or after it, are left to the next run.
+    """
     folder = shared_folder(spark, "replay")
     run_to_end(closed_windows(feedback), folder + "/windows")
     closed = spark.readStream.schema(WINDOWS).parquet(folder + "/windows")
