@@ -18,9 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     one round at most.
     """
     edges = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    labels, turn = None, 0
+    steps = []
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
+        both, turn = edges.union(edges.select("b", "a")), len(steps)
 
         def code(column):
             return F.xxhash64(F.col(column), F.lit(turn))  # noqa: B023
@@ -28,18 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.min(code("b")).alias("code"), F.min_by("b", code("b")).alias("b"))
         step = written(near.select(F.col("a").alias("node"), F.when(F.col("code") < code("a"), F.col("b"))
                                    .otherwise(F.col("a")).alias("to")), "steps")
-        if labels is None:
-            labels = step.select("node", F.col("to").alias("component"))
-        else:
-            moved = step.select(F.col("node").alias("component"), "to")
-            labels = written(labels.join(moved, "component", "left").select(
-                "node", F.coalesce("to", "component").alias("component")), "labels")
+        steps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         edges = written(edges.join(left, "a").join(right, "b").filter("to_a <> to_b")
                         .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(),
                         "edges")
-        turn += 1
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # Later steps have fewer nodes, so the moves are put together from the last to the first.
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for step in reversed(steps):
+        further = labels.withColumnsRenamed({"node": "to", "component": "last"})
+        labels = written(step.join(further, "to", "left").select("node", F.coalesce("last", "to").alias("component")), "labels")
     return labels

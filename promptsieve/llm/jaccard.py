@@ -157,9 +157,10 @@ def _sets(shared, n: int):
 
 
 def _marked(shared):
-    """(row, n, pos, gram, centre) of the prefix n-grams whose bit is set: all shared ones and few others.
+    """(row, n, pos, seen, gram, centre) of the prefix n-grams whose bit is set: all shared ones and few others.
 
-    ``centre`` ranks documents as representatives: least the one whose prefix has fewest n-grams of its
+    ``seen`` is how many of them come before in the prefix; the document's own n-grams there are in no
+    other prefix that reaches as far, so only these can be common. ``centre`` ranks documents as representatives: least the one whose prefix has fewest n-grams of its
     own, which of a family of near copies is the least edited one.
     """
     def apply(batches):
@@ -177,16 +178,19 @@ def _marked(shared):
             drawn = (rows.astype(np.uint64) * ODD[0] >> np.uint64(32)).astype(np.int64)
             centre = (own << 32) + drawn
             at = owner[kept]
+            count = np.bincount(at, minlength=len(lengths))
+            seen = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[at]), pa.array(np.asarray(batch.column(1))[at]), pa.array(pos[kept].astype(np.int32)),
-                 pa.array(codes[kept]), pa.array(centre[at])], names=["row", "n", "pos", "gram", "centre"])
+                 pa.array(seen.astype(np.int32)), pa.array(codes[kept]), pa.array(centre[at])],
+                names=["row", "n", "pos", "seen", "gram", "centre"])
 
     return apply
 
 
 def _drawn(code):
     """The member of least code that is not null."""
-    return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos")))
+    return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos", "seen")))
 
 
 class Join:
@@ -197,7 +201,10 @@ class Join:
         self.spark = docs.sparkSession
         self.rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"),
                                 F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+        # Before a shared n-gram at most the shared ones of either are common, after it what either has left.
         self.enough = f"{num + den} * {{overlap}} >= {num} * (n_a + n_b)"
+        self.allowed = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and " + self.enough.format(
+            overlap="(least(seen_a, seen_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))")
 
     def prepared(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(frequencies(self.rows, self.n))
@@ -209,26 +216,22 @@ class Join:
         """Members of prefix n-grams that two documents or more have, with two members that represent them."""
         num, den = self.num, self.den
         listed = prepared.filter("_prefix is not null")
-        shared = written(listed.select(F.explode("_prefix").alias("gram")).groupBy("gram").count().filter("count > 1")
-                         .select("gram"), "join-grams")
+        shared = listed.select(F.explode("_prefix").alias("gram")).groupBy("gram").count().filter("count > 1")
         bits = self.spark.sparkContext.broadcast(flags(
             shared.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit"))))
         members = listed.select("_row", "_size", "_prefix").mapInArrow(
-            _marked(bits), "row long, n long, pos int, gram long, centre long").join(shared, "gram")
+            _marked(bits), "row long, n long, pos int, seen int, gram long, centre long")
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
-        members = written(members.select("gram", "row", "n", "pos", "centre", F.expr(short).alias("short")), "join-members")
+        members = written(members.select("gram", "row", "n", "pos", "seen", "centre", F.expr(short).alias("short")), "join-members")
         hubs = members.groupBy("gram").agg(
             F.count("*").alias("members"), _drawn(F.col("centre")).alias("one"),
-            _drawn(F.xxhash64("row")).alias("two"))
+            _drawn(F.xxhash64("row")).alias("two")).filter("members > 1")
         return written(members.join(hubs, "gram"), "join-postings")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, n_a, pos_a, b, n_b, pos_b) that length and position allow, each once."""
-        return pairs.filter(
-            f"{self.den} * least(n_a, n_b) >= {self.num} * greatest(n_a, n_b) and "
-            + self.enough.format(overlap="(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))")
-        ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """Pairs (a, n_a, pos_a, seen_a, b, ...) that length and position allow, each once."""
+        return pairs.filter(self.allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, prepared: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
@@ -280,14 +283,15 @@ class Join:
     @staticmethod
     def _against(members: DataFrame, hubs) -> DataFrame:
         """Every member with the documents that represent its posting."""
-        return members.select("gram", "row", "n", "pos", F.explode(hubs).alias("hub")).select(
-            F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
-            F.col("hub.row").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b")).filter("a <> b")
+        own = ("row", "n", "pos", "seen")
+        return members.select(*own, F.explode(hubs).alias("hub")).select(
+            *(F.col(c).alias(n) for c, n in zip(own, ("a", "n_a", "pos_a", "seen_a"))),
+            *(F.col(f"hub.{c}").alias(n) for c, n in zip(own, ("b", "n_b", "pos_b", "seen_b")))).filter("a <> b")
 
     @staticmethod
     def _named(postings: DataFrame, groups: DataFrame) -> DataFrame:
         """Postings that hold several components, their members with their own and the largest one."""
-        members = postings.select("gram", "row", "n", "pos", "centre", "short").join(
+        members = postings.select("gram", "row", "n", "pos", "seen", "centre", "short").join(
             groups.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row"))
         members = written(members.drop("component"), "join-named")
         largest = (members.groupBy("gram", "part").agg(F.count("*").alias("many"))
@@ -297,17 +301,14 @@ class Join:
 
     def _across(self, named: DataFrame) -> DataFrame:
         """The pairs of a posting that are in different components."""
-        a = named.filter("part <> largest").select(
-            "gram", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
-            F.col("short").alias("short_a"), F.col("part").alias("part_a"))
-        b = named.select(
-            "gram", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
-            F.col("short").alias("short_b"), F.col("part").alias("part_b"), "largest")
+        def side(frame, name):
+            return frame.select("gram", F.col("row").alias(name), *(
+                F.col(c).alias(f"{c}_{name}") for c in ("n", "pos", "seen", "short", "part")), "largest")
+
+        a, b = side(named.filter("part <> largest"), "a").drop("largest"), side(named, "b")
         pairs = a.join(b, "gram").filter(
             "part_a <> part_b and (part_b = largest or a < b) and "
-            "case when n_a < n_b then short_a when n_b < n_a then short_b else short_a or short_b end and "
-            f"{self.den} * least(n_a, n_b) >= {self.num} * greatest(n_a, n_b) and "
-            + self.enough.format(overlap="(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"))
+            f"case when n_a < n_b then short_a when n_b < n_a then short_b else short_a or short_b end and {self.allowed}")
         return self._filtered(pairs)
 
 
