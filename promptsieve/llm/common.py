@@ -20,7 +20,12 @@ SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per application, as ``--py-files`` would."""
+    """Ready a session for the corpus operators: this package is sent to the executors' Python, as
+    ``--py-files`` would, and Arrow batches, which hold whole texts, are limited to a few megabytes
+    unless the session sets a limit of its own."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batch).rstrip("b") == str(64 << 20):  # the default
+        spark.conf.set(batch, str(8 << 20))
     context = spark.sparkContext
     if context.applicationId in SHIPPED:
         return
