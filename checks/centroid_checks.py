@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.signal_checks import METRIC_SQL, rounded
-from checks.sql import VECTORS
+from checks.sql import VECTORS, hashed
 from promptsieve.operators import centroids as C
 from promptsieve.operators import evaluate as E
 from promptsieve.plans import centroid_study as S
@@ -86,14 +86,24 @@ SIM_MARGIN = "mg as (select prompt_id, max(case when class = 1 then s end) - max
 DIST_MARGIN = "mg as (select prompt_id, max(case when class = 0 then x end) - max(case when class = 1 then x end) as margin from dist group by 1)"
 
 
-def study_sql(name: str) -> str:
-    """One model's row: cosine nearest centroid on its vectors."""
-    return f"""(with {VECTORS}, dims as (select prompt_id, is_malicious, {MODELS[name][1]} as v, d from
-  (select prompt_id, is_malicious, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as d from vecs)),
-{means('is_malicious')}, {NORMED},
-sim as (select a.prompt_id, c.class, sum(a.v * c.u) / any_value(nrm) as s from dims a join cu c using (d) join vn using (prompt_id) group by 1, 2),
+_COSINE = f"""vn as (select prompt_id, sqrt(sum(v * v)) as nrm from dims group by 1),
+sim as (select a.prompt_id, c.class, sum(a.v * c.u) / any_value(nrm) as s from dims a join cu c using (d) join vn using (prompt_id) where not a.tr and c.tr group by 1, 2),
 {ARGMAX},
-pb as (select prompt_id, max(case when class = 1 then exp(s) end) / sum(exp(s)) as p from sim group by 1),
+pb as (select prompt_id, max(case when class = 1 then exp(s) end) / sum(exp(s)) as p from sim group by 1)"""
+_EUCLIDEAN = f"""sc as (select d, avg(v) as mu, case when stddev_pop(v) > 0 then stddev_pop(v) else 1 end as sd from dims where tr group by 1),
+dist as (select a.prompt_id, c.class, sqrt(sum(power((a.v - mu) / sd - (c.m - mu) / sd, 2))) as x from dims a join cu c using (d) join sc using (d) where not a.tr and c.tr group by 1, 2),
+{ARGMIN},
+pb as (select prompt_id, max(case when class = 1 then 1 / (x + 1e-8) end) / sum(1 / (x + 1e-8)) as p from dist group by 1)"""
+
+
+def study_sql(name: str, method: str) -> str:
+    """One model's row: nearest centroid, trained on four fifths by hash and tested on the rest."""
+    return f"""(with {VECTORS}, dims as (select prompt_id, is_malicious, tr, {MODELS[name][1]} as v, d from
+  (select prompt_id, is_malicious, {hashed('prompt_id')} / cast(4294967296 as double) < cast(0.8 as double) as tr,
+          cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) as d from vecs)),
+cm as (select tr, is_malicious as class, d, avg(v) as m from dims group by all),
+cu as (select tr, class, d, m, m / sqrt(sum(m * m) over (partition by tr, class)) as u from cm),
+{_COSINE if method == 'cosine' else _EUCLIDEAN},
 al as (select v.prompt_id, is_malicious as y, prediction as q, round(p, 9) as p from vecs v join pr using (prompt_id) join pb using (prompt_id)),
 cells as (select count(case when q = 1 and y = 1 then 1 end) as tp, count(case when q = 1 and y = 0 then 1 end) as fp, count(case when q = 0 and y = 0 then 1 end) as tn, count(case when q = 0 and y = 1 then 1 end) as fn from al),
 k as (select unnest([0, 1]) as c),
@@ -103,13 +113,14 @@ w as (select sum(case when said = 0 then 0 else hit / cast(said as double) end *
 bys as (select p, count(case when y = 1 then 1 end) as pos, count(case when y = 0 then 1 end) as neg from al group by 1),
 rk as (select pos, neg, sum(pos) over (order by p desc) - pos as above, sum(pos) over () as np, sum(neg) over () as nn from bys),
 auc as (select sum(neg * (above + pos / cast(2 as double))) / (max(np) * cast(max(nn) as double)) as auc_roc from rk),
-cc as (select sum(a.u * b.u) as centroid_similarity from cu a join cu b using (d) where a.class = 0 and b.class = 1),
+cc as (select sum(case when a.tr then a.u * b.u end) as centroid_similarity, sum(case when not a.tr then a.u * b.u end) as test_similarity
+  from cu a join cu b using (tr, d) where a.class = 0 and b.class = 1),
 bl as (select greatest(sum(y), count(*) - sum(y)) / cast(count(*) as double) as baseline from al)
-select '{name}' as model, {METRIC_SQL['accuracy']} as accuracy, f1_score, precision, recall, auc_roc, centroid_similarity, baseline from cells, w, auc, cc, bl)"""
+select '{name}' as model, '{method}' as method, {METRIC_SQL['accuracy']} as accuracy, f1_score, precision, recall, auc_roc, centroid_similarity, test_similarity, baseline from cells, w, auc, cc, bl)"""
 
 
-STUDY = f"st as ({' union all '.join(study_sql(n) for n in MODELS)})"
-STUDY_COLUMNS = ", ".join(f"round({c}, 6) as {c}" for c in ("accuracy", "f1_score", "precision", "recall", "auc_roc", "centroid_similarity"))
+STUDY = f"st as ({' union all '.join(study_sql(n, m) for n in MODELS for m in ('cosine', 'euclidean'))})"
+STUDY_COLUMNS = ", ".join(f"round({c}, 6) as {c}" for c in ("accuracy", "f1_score", "precision", "recall", "auc_roc", "centroid_similarity", "test_similarity"))
 
 QUERIES = {
     "class_centroids": lambda s, sf: rounded(dims(C.unit_means(vectors(s, sf), "category"), "centroid", "value")),
@@ -128,9 +139,9 @@ QUERIES = {
     "centroid_similarity": lambda s, sf: rounded(C.centroid_similarity(vectors(s, sf))),
     "centroid_overlap": lambda s, sf: rounded(C.overlap_index(vectors(s, sf), "category")),
     "four_centroid_signals": four_way,
-    "model_comparison": lambda s, sf: rounded(S.with_mean_row(S.compare_cosine(models(s, sf))).drop("baseline")),
-    "collapse_check": lambda s, sf: rounded(C.collapse_check(S.compare_cosine(models(s, sf)), F.col("baseline"))
-                                            .select("model", "accuracy", "auc_roc", "centroid_similarity", "collapsed")),
+    "model_comparison": lambda s, sf: rounded(S.with_mean_row(S.compare(models(s, sf))).drop("baseline")),
+    "collapse_check": lambda s, sf: rounded(C.collapse_check(S.compare(models(s, sf)), F.col("baseline"))
+                                            .select("model", "method", "accuracy", "auc_roc", "centroid_similarity", "collapsed")),
 }
 ORACLES = {
     "class_centroids": f"with {B}, {means('category')} select class, n, cast(d - 1 as integer) as d, round(u, 6) as value from cu",
@@ -151,8 +162,8 @@ ORACLES = {
 select (select count(distinct class) from cu) as classes, round(avg(s), 6) as overlap from pairs""",
     "four_centroid_signals": f"""with {sims('category')}, {ARGMAX}, ms as (select prompt_id, max(s) as ms from sim where class > 0 group by 1)
 select prompt_id, category, prediction, round(ms, 6) as malicious_similarity from vecs join pr using (prompt_id) join ms using (prompt_id)""",
-    "model_comparison": f"""with {STUDY}, u as (select * from st union all select 'mean', avg(accuracy), avg(f1_score), avg(precision), avg(recall), avg(auc_roc), avg(centroid_similarity), avg(baseline) from st)
-select model, {STUDY_COLUMNS} from u""",
-    "collapse_check": f"""with {STUDY} select model, round(accuracy, 6) as accuracy, round(auc_roc, 6) as auc_roc, round(centroid_similarity, 6) as centroid_similarity,
+    "model_comparison": f"""with {STUDY}, u as (select * from st union all select 'mean', method, avg(accuracy), avg(f1_score), avg(precision), avg(recall), avg(auc_roc), avg(centroid_similarity), avg(test_similarity), avg(baseline) from st group by method)
+select model, method, {STUDY_COLUMNS} from u""",
+    "collapse_check": f"""with {STUDY} select model, method, round(accuracy, 6) as accuracy, round(auc_roc, 6) as auc_roc, round(centroid_similarity, 6) as centroid_similarity,
   cast(centroid_similarity > cast(0.95 as double) and auc_roc < cast(0.55 as double) and accuracy < baseline as integer) as collapsed from st""",
 }

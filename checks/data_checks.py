@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.scorer_checks import SCORED, prompts
 from checks.signal_checks import METRIC_SQL, SIGNALS, cells_sql, composite_table, rounded
-from checks.sql import LABELS, SCORES, SEEDED, TEXTS, VECTORS, quote, sql_list
+from checks.sql import LABELS, SCORES, SEEDED, TEXTS, VECTORS, hashed, quote, sql_list
 from promptsieve import lexicon as L
 from promptsieve.operators import compare as CP
 from promptsieve.operators import decision as D
@@ -128,10 +128,6 @@ QUERIES = {
 }
 
 
-def hashed(key: str, seed: int = 42) -> str:
-    return f"cast('0x' || substr(md5(cast({key} as varchar) || ':{seed}'), 1, 8) as bigint)"
-
-
 def rank_sql(source: str, strata: str, key: str = "prompt_id", seed: int = 42) -> str:
     return f"""rk as (select *, row_number() over (partition by {strata} order by {hashed(key, seed)}, {key}) as rank,
   count(*) over (partition by {strata}) as size, count(*) over () as total from {source})"""
