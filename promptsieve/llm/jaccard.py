@@ -1,8 +1,10 @@
 """Similarity join of documents on the Jaccard index of their word n-gram sets.
 
 Prefix filtering: with a document's n-grams in one global order, rare first, two documents of
-the wanted similarity share an n-gram of their prefixes. The order is the corpus frequency of the
-n-gram's bucket in a count sketch of fixed size over all documents, then the n-gram's hash; any order is
+the wanted similarity share an n-gram of their prefixes. Rare means that few documents have the n-gram, by
+copying or by chance: the order is first by the corpus frequency of the n-gram's cell in a count sketch
+of fixed size, as far as it stands out of the cells' usual load, then by the product of its words' document
+frequencies, from a second sketch, then by the n-gram's hash. Both cover all documents. Any order is
 exact, a rare-first one makes postings short. Postings meet in a join on prefix n-grams, filtered by
 length, position and, per pair, by a bound on the overlap from the sets' histograms over the hash range
 (the suffix filter's idea of bounding the rest by the sizes of its parts). Each surviving pair
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from promptsieve.llm.common import BITS, bit_of, bitmap, extended, flags, folded, passed, rereadable, slices, written
 from promptsieve.llm.graph import components
 
-CELLS, BLOCK = 1 << 20, 4096
+CELLS, WORD_CELLS, BLOCK = 1 << 20, 1 << 18, 4096
 PARTS = 64
 KNOWN = 150_000
 SLICE = 4 << 20
@@ -64,11 +66,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def grams(words: list[bytes], n: int) -> np.ndarray:
-    """Hashes of the n-grams in text order; the whole sequence's if it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of a sequence of word hashes; the whole sequence's if it is shorter."""
+    if not len(codes):
+        return codes
     size = min(n, len(codes))
     mixed = np.full(len(codes) - size + 1, size, np.uint64)
     for i in range(size):
@@ -78,6 +83,11 @@ def grams(words: list[bytes], n: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def grams(words: list[bytes], n: int) -> np.ndarray:
+    """Hashes of the n-grams in text order; the whole sequence's if it is shorter."""
+    return gram_codes(word_codes(words), n)
+
+
 def gram_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(grams(words_of(text), n))
 
@@ -86,18 +96,41 @@ def _cells(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(44)).astype(np.int64)
 
 
-def frequencies(rows: DataFrame, n: int) -> np.ndarray:
-    """Per sketch cell in how many documents' sets its n-grams are; rows are (row, key, text)."""
+def _word_cells(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(46)).astype(np.int64)
+
+
+def frequencies(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight per n-gram cell, weight per word cell) from all documents; rows are (row, key, text).
+
+    An n-gram's cell weighs nothing unless it holds far more documents than cells do by chance, so
+    repeated passages show; a word's cell weighs the logarithm of its documents.
+    """
     def blocks(batches):
-        held = np.zeros(CELLS, np.int64)
+        held = np.zeros(CELLS + WORD_CELLS, np.int64)
         for batch in slices(batches, 2, SLICE):
-            sets = [gram_set(t, n) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            held += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
-        for at in range(0, CELLS, BLOCK):
+            codes = [word_codes(words_of(t)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            held[:CELLS] += np.bincount(_cells(np.concatenate([np.unique(gram_codes(c, n)) for c in codes])), minlength=CELLS)
+            held[CELLS:] += np.bincount(_word_cells(np.concatenate([np.unique(c) for c in codes])), minlength=WORD_CELLS)
+        for at in range(0, len(held), BLOCK):
             if held[at:at + BLOCK].any():
                 yield at // BLOCK, held[at:at + BLOCK]
 
-    return folded(rows, blocks, CELLS, BLOCK)
+    total = folded(rows, blocks, CELLS + WORD_CELLS, BLOCK)
+    counts, mean = total[:CELLS], total[:CELLS].mean()
+    usual = mean + 6 * np.sqrt(mean) + 1
+    heavy = np.where(counts > usual, np.ceil(np.log2(np.maximum(counts, 1) / usual)) + 1, 0)
+    return heavy.astype(np.int64), np.round(16 * np.log2(total[CELLS:] + 1)).astype(np.int64)
+
+
+def ordered(codes: np.ndarray, n: int, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct n-grams of a sequence of word hashes, rare first."""
+    heavy, level = weights
+    found, first = np.unique(gram_codes(codes, n), return_index=True)
+    size = min(n, len(codes))
+    levels = level[_word_cells(codes)]
+    chance = sum(levels[i:len(codes) - size + 1 + i] for i in range(size))
+    return found[np.lexsort((found, chance[first], heavy[_cells(found)]))]
 
 
 def _prefixes(shared, n: int, num: int, den: int):
@@ -120,8 +153,8 @@ def _prefixes(shared, n: int, num: int, den: int):
                 rep = seen.setdefault(digest, row)
                 if len(seen) > KNOWN:
                     seen.clear()
-                codes = np.unique(grams(words, n))
                 reps.append(rep)
+                codes = ordered(word_codes(words), n, order) if words else np.zeros(0, np.uint64)
                 sizes.append(len(codes))
                 if rep != row or not len(codes):
                     digests.append(None)
@@ -130,11 +163,10 @@ def _prefixes(shared, n: int, num: int, den: int):
                     continue
                 size = len(codes)
                 length = size - -(-num * size // den) + 1
-                ranked = codes[np.lexsort((codes, order[_cells(codes)]))[:length]]
                 digests.append(digest)
                 part = np.bincount((codes >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 parts.append(part.astype(np.int8) if part.max() < 128 else None)  # none: nothing is ruled out
-                prefixes.append(ranked.view(np.int64))
+                prefixes.append(codes[:length].view(np.int64))
             yield flush(rows, batch.column(1), reps, sizes, digests, parts, prefixes)
 
     return apply
