@@ -51,7 +51,7 @@ QUERIES = {
     "stability_check": lambda s, sf: rounded(A.stability(windows(s, sf)).drop("n_recent")),
     "error_states": lambda s, sf: rounded(A.error_states(windows(s, sf), baseline_error=0.5)),
     "feedback_buffer": lambda s, sf: A.feedback_buffer(busy(s, sf), size=5000, minimum=100).select("stream_id", "event_id", "buffered"),
-    "mined_patterns": lambda s, sf: rounded(A.mine_patterns(P.flag_by_gate(prompts(s, sf)), list(L.PATTERN_SCORES))),
+    "mined_patterns": lambda s, sf: rounded(A.mine_patterns(P.flag_by_gate(prompts(s, sf)), list(L.PATTERN_SCORES), per_kind=50, most=200)),
 }
 
 _W = f"""{FEEDBACK},

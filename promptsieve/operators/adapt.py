@@ -270,11 +270,11 @@ def feedback_buffer(feedback: DataFrame, size: int = 5000, minimum: int = 100) -
     return newest.drop("_r").join(held, "stream_id")
 
 
-def mine_patterns(judged: DataFrame, known: Sequence[str] = (), per_kind: int = 50, most: int = 200, score: float = 0.7, seed: int = 42) -> DataFrame:
+def mine_patterns(judged: DataFrame, known: Sequence[str] = (), per_kind: int | None = None, most: int | None = None, score: float = 0.7, seed: int = 42) -> DataFrame:
     """(prompt_id, position, pattern, score): new word patterns from missed and false alarms.
 
-    Three-word patterns from up to ``per_kind`` missed attacks, then four-word patterns
-    from up to ``per_kind`` false alarms at a lower score, at most ``most`` in all.
+    Three-word patterns from missed attacks, then four-word patterns from false alarms at a lower
+    score; from all of them, or from ``per_kind`` of each and ``most`` in all (published: 50 and 200).
     """
     from promptsieve.functions.hashing import unit_hash
 
@@ -283,7 +283,9 @@ def mine_patterns(judged: DataFrame, known: Sequence[str] = (), per_kind: int =
     parts = []
     for kind, (pred, label, n, value) in enumerate(((0, 1, 3, score), (1, 0, 4, score - 0.1))):
         wrong = judged.where((F.col("pred") == pred) & (F.col("is_malicious") == label))
-        chosen = wrong.select("prompt_id", "prompt_text", order.alias("h")).orderBy("h", "prompt_id").limit(per_kind)
+        chosen = wrong.select("prompt_id", "prompt_text", order.alias("h"))
+        if per_kind is not None:
+            chosen = chosen.orderBy("h", "prompt_id").limit(per_kind)
         tokens = chosen.select("prompt_id", "h", X.words(F.col("prompt_text")).alias("w"))
         escaped = tokens.select("prompt_id", "h", F.transform("w", escape).alias("w"))
         grams = F.transform(X.word_ngrams(F.col("w"), n), lambda g: F.replace(g, F.lit(" "), F.lit(r"\s+")))
@@ -291,4 +293,6 @@ def mine_patterns(judged: DataFrame, known: Sequence[str] = (), per_kind: int =
     mined = parts[0].unionByName(parts[1])
     if known:
         mined = mined.where(~F.col("pattern").isin(list(known)))
-    return mined.orderBy("kind", "h", "prompt_id", "position").limit(most).select("prompt_id", "position", "pattern", "score")
+    if most is not None:
+        mined = mined.orderBy("kind", "h", "prompt_id", "position").limit(most)
+    return mined.select("prompt_id", "position", "pattern", "score")

@@ -196,8 +196,8 @@ def scale_columns(train: DataFrame, test: DataFrame, columns: Sequence[str]) ->
 def cross_validate(frame: DataFrame, columns: Sequence[str], learners: Mapping, folds: int = 5) -> DataFrame:
     """Pooled metrics, mean fold balanced accuracy and its interval per learner, best first.
 
-    ``frame`` has the columns, the label and ``fold``; learners named balanced_* get
-    class weights.
+    ``frame`` has the columns, the label and ``fold``.  Class weights are in the column ``weight``,
+    for learners that name it as theirs.
     """
     rows = []
     for name, learner in learners.items():
