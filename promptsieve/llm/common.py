@@ -169,9 +169,9 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
     return flags(rows.select(bit_of(F.col(column)).alias("bit")))
 
 
-def flags(bits: DataFrame) -> np.ndarray:
-    """The numbers in ``bit``, below ``BITS``, as a bitmap."""
-    found = np.zeros(BITS, bool)
+def flags(bits: DataFrame, size: int = BITS) -> np.ndarray:
+    """The numbers in ``bit``, below ``size``, as a bitmap."""
+    found = np.zeros(size, bool)
     found[np.asarray(bits.distinct().toArrow().column(0), dtype=np.int64)] = True
     return np.packbits(found)
 

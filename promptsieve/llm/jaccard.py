@@ -1,10 +1,8 @@
 """Similarity join of documents on the Jaccard index of their word n-gram sets.
 
 Prefix filtering: with a document's n-grams in one global order, rare first, two documents of
-the wanted similarity share an n-gram of their prefixes. Rare means that few documents have the n-gram, by
-copying or by chance: the order is first by the corpus frequency of the n-gram's cell in a count sketch
-of fixed size, as far as it stands out of the cells' usual load, then by the product of its words' document
-frequencies, from a second sketch, then by the n-gram's hash. Both cover all documents. Any order is
+the wanted similarity share an n-gram of their prefixes. The order is the corpus frequency of the
+n-gram's bucket in a count sketch of fixed size over all documents, then the n-gram's hash; any order is
 exact, a rare-first one makes postings short. Postings meet in a join on prefix n-grams, filtered by
 length, position and, per pair, by a bound on the overlap from the sets' histograms over the hash range
 (the suffix filter's idea of bounding the rest by the sizes of its parts). Each surviving pair
@@ -38,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import BITS, bit_of, bitmap, extended, flags, folded, passed, rereadable, slices, written
+from promptsieve.llm.common import bit_of, bitmap, extended, flags, folded, passed, rereadable, slices, written
 from promptsieve.llm.graph import components
 
-CELLS, WORD_CELLS, BLOCK = 1 << 20, 1 << 18, 4096
+CELLS, BLOCK = 1 << 20, 4096
 PARTS = 64
+GRAM_BITS = 1 << 26
 KNOWN = 150_000
 SLICE = 4 << 20
 
@@ -66,14 +65,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_codes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of a sequence of word hashes; the whole sequence's if it is shorter."""
-    if not len(codes):
-        return codes
+def grams(words: list[bytes], n: int) -> np.ndarray:
+    """Hashes of the n-grams in text order; the whole sequence's if it is shorter."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     size = min(n, len(codes))
     mixed = np.full(len(codes) - size + 1, size, np.uint64)
     for i in range(size):
@@ -83,11 +79,6 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def grams(words: list[bytes], n: int) -> np.ndarray:
-    """Hashes of the n-grams in text order; the whole sequence's if it is shorter."""
-    return gram_codes(word_codes(words), n)
-
-
 def gram_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(grams(words_of(text), n))
 
@@ -96,41 +87,18 @@ def _cells(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(44)).astype(np.int64)
 
 
-def _word_cells(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(46)).astype(np.int64)
-
-
-def frequencies(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight per n-gram cell, weight per word cell) from all documents; rows are (row, key, text).
-
-    An n-gram's cell weighs nothing unless it holds far more documents than cells do by chance, so
-    repeated passages show; a word's cell weighs the logarithm of its documents.
-    """
+def frequencies(rows: DataFrame, n: int) -> np.ndarray:
+    """Per sketch cell in how many documents' sets its n-grams are; rows are (row, key, text)."""
     def blocks(batches):
-        held = np.zeros(CELLS + WORD_CELLS, np.int64)
+        held = np.zeros(CELLS, np.int64)
         for batch in slices(batches, 2, SLICE):
-            codes = [word_codes(words_of(t)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            held[:CELLS] += np.bincount(_cells(np.concatenate([np.unique(gram_codes(c, n)) for c in codes])), minlength=CELLS)
-            held[CELLS:] += np.bincount(_word_cells(np.concatenate([np.unique(c) for c in codes])), minlength=WORD_CELLS)
-        for at in range(0, len(held), BLOCK):
+            sets = [gram_set(t, n) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            held += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
+        for at in range(0, CELLS, BLOCK):
             if held[at:at + BLOCK].any():
                 yield at // BLOCK, held[at:at + BLOCK]
 
-    total = folded(rows, blocks, CELLS + WORD_CELLS, BLOCK)
-    counts, mean = total[:CELLS], total[:CELLS].mean()
-    usual = mean + 6 * np.sqrt(mean) + 1
-    heavy = np.where(counts > usual, np.ceil(np.log2(np.maximum(counts, 1) / usual)) + 1, 0)
-    return heavy.astype(np.int64), np.round(16 * np.log2(total[CELLS:] + 1)).astype(np.int64)
-
-
-def ordered(codes: np.ndarray, n: int, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The distinct n-grams of a sequence of word hashes, rare first."""
-    heavy, level = weights
-    found, first = np.unique(gram_codes(codes, n), return_index=True)
-    size = min(n, len(codes))
-    levels = level[_word_cells(codes)]
-    chance = sum(levels[i:len(codes) - size + 1 + i] for i in range(size))
-    return found[np.lexsort((found, chance[first], heavy[_cells(found)]))]
+    return folded(rows, blocks, CELLS, BLOCK)
 
 
 def _prefixes(shared, n: int, num: int, den: int):
@@ -153,8 +121,8 @@ def _prefixes(shared, n: int, num: int, den: int):
                 rep = seen.setdefault(digest, row)
                 if len(seen) > KNOWN:
                     seen.clear()
+                codes = np.unique(grams(words, n))
                 reps.append(rep)
-                codes = ordered(word_codes(words), n, order) if words else np.zeros(0, np.uint64)
                 sizes.append(len(codes))
                 if rep != row or not len(codes):
                     digests.append(None)
@@ -163,10 +131,11 @@ def _prefixes(shared, n: int, num: int, den: int):
                     continue
                 size = len(codes)
                 length = size - -(-num * size // den) + 1
+                ranked = codes[np.lexsort((codes, order[_cells(codes)]))[:length]]
                 digests.append(digest)
                 part = np.bincount((codes >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 parts.append(part.astype(np.int8) if part.max() < 128 else None)  # none: nothing is ruled out
-                prefixes.append(codes[:length].view(np.int64))
+                prefixes.append(ranked.view(np.int64))
             yield flush(rows, batch.column(1), reps, sizes, digests, parts, prefixes)
 
     return apply
@@ -189,10 +158,10 @@ def _sets(shared, n: int):
 
 
 def _marked(shared):
-    """(row, n, pos, seen, gram, centre) of the prefix n-grams whose bit is set: all shared ones and few others.
+    """(row, n, pos, seen, own, gram, centre) of the prefix n-grams whose bit is set: all shared ones and few others.
 
     ``seen`` is how many of them come before in the prefix; the document's own n-grams there are in no
-    other prefix that reaches as far, so only these can be common. ``centre`` ranks documents as representatives: least the one whose prefix has fewest n-grams of its
+    other prefix that reaches as far, so only these can be common; ``own`` is how many those are. ``centre`` ranks documents as representatives: least the one whose prefix has fewest n-grams of its
     own, which of a family of near copies is the least edited one.
     """
     def apply(batches):
@@ -204,7 +173,7 @@ def _marked(shared):
             owner = np.repeat(np.arange(len(lengths)), lengths)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             codes = np.asarray(grams_)
-            kept = np.flatnonzero(passed(bits, pa.array(codes & (BITS - 1))))
+            kept = np.flatnonzero(passed(bits, pa.array(codes & (GRAM_BITS - 1))))
             rows = np.asarray(batch.column(0))
             own = lengths - np.bincount(owner[kept], minlength=len(lengths))
             drawn = (rows.astype(np.uint64) * ODD[0] >> np.uint64(32)).astype(np.int64)
@@ -214,15 +183,15 @@ def _marked(shared):
             seen = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[at]), pa.array(np.asarray(batch.column(1))[at]), pa.array(pos[kept].astype(np.int32)),
-                 pa.array(seen.astype(np.int32)), pa.array(codes[kept]), pa.array(centre[at])],
-                names=["row", "n", "pos", "seen", "gram", "centre"])
+                 pa.array(seen.astype(np.int32)), pa.array(own[at].astype(np.int32)), pa.array(codes[kept]),
+                 pa.array(centre[at])], names=["row", "n", "pos", "seen", "own", "gram", "centre"])
 
     return apply
 
 
 def _drawn(code):
     """The member of least code that is not null."""
-    return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos", "seen")))
+    return F.struct(*(F.min_by(c, code).alias(c) for c in ("row", "n", "pos", "seen", "own")))
 
 
 class Join:
@@ -234,9 +203,11 @@ class Join:
         self.rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"),
                                 F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
         # Before a shared n-gram at most the shared ones of either are common, after it what either has left.
+        # And of the two, the document whose prefix ends first in the order has its own n-grams there alone.
         self.enough = f"{num + den} * {{overlap}} >= {num} * (n_a + n_b)"
         self.allowed = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and " + self.enough.format(
-            overlap="(least(seen_a, seen_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))")
+            overlap="(least(seen_a, seen_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))") + " and " + self.enough.format(
+            overlap="greatest(n_a - own_a, n_b - own_b)")
 
     def prepared(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(frequencies(self.rows, self.n))
@@ -250,12 +221,12 @@ class Join:
         listed = prepared.filter("_prefix is not null")
         shared = listed.select(F.explode("_prefix").alias("gram")).groupBy("gram").count().filter("count > 1")
         bits = self.spark.sparkContext.broadcast(flags(
-            shared.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit"))))
+            shared.select(F.col("gram").bitwiseAND(F.lit(GRAM_BITS - 1)).cast("int").alias("bit")), GRAM_BITS))
         members = listed.select("_row", "_size", "_prefix").mapInArrow(
-            _marked(bits), "row long, n long, pos int, seen int, gram long, centre long")
+            _marked(bits), "row long, n long, pos int, seen int, own int, gram long, centre long")
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
-        members = written(members.select("gram", "row", "n", "pos", "seen", "centre", F.expr(short).alias("short")), "join-members")
+        members = written(members.select("gram", "row", "n", "pos", "seen", "own", "centre", F.expr(short).alias("short")), "join-members")
         hubs = members.groupBy("gram").agg(
             F.count("*").alias("members"), _drawn(F.col("centre")).alias("one"),
             _drawn(F.xxhash64("row")).alias("two")).filter("members > 1")
@@ -315,15 +286,15 @@ class Join:
     @staticmethod
     def _against(members: DataFrame, hubs) -> DataFrame:
         """Every member with the documents that represent its posting."""
-        own = ("row", "n", "pos", "seen")
-        return members.select(*own, F.explode(hubs).alias("hub")).select(
-            *(F.col(c).alias(n) for c, n in zip(own, ("a", "n_a", "pos_a", "seen_a"))),
-            *(F.col(f"hub.{c}").alias(n) for c, n in zip(own, ("b", "n_b", "pos_b", "seen_b")))).filter("a <> b")
+        names = ("row", "n", "pos", "seen", "own")
+        return members.select(*names, F.explode(hubs).alias("hub")).select(
+            *(F.col(c).alias(f"{c}_a" if c != "row" else "a") for c in names),
+            *(F.col(f"hub.{c}").alias(f"{c}_b" if c != "row" else "b") for c in names)).filter("a <> b")
 
     @staticmethod
     def _named(postings: DataFrame, groups: DataFrame) -> DataFrame:
         """Postings that hold several components, their members with their own and the largest one."""
-        members = postings.select("gram", "row", "n", "pos", "seen", "centre", "short").join(
+        members = postings.select("gram", "row", "n", "pos", "seen", "own", "centre", "short").join(
             groups.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row"))
         members = written(members.drop("component"), "join-named")
         largest = (members.groupBy("gram", "part").agg(F.count("*").alias("many"))
@@ -335,7 +306,7 @@ class Join:
         """The pairs of a posting that are in different components."""
         def side(frame, name):
             return frame.select("gram", F.col("row").alias(name), *(
-                F.col(c).alias(f"{c}_{name}") for c in ("n", "pos", "seen", "short", "part")), "largest")
+                F.col(c).alias(f"{c}_{name}") for c in ("n", "pos", "seen", "own", "short", "part")), "largest")
 
         a, b = side(named.filter("part <> largest"), "a").drop("largest"), side(named, "b")
         pairs = a.join(b, "gram").filter(
