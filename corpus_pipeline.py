@@ -12,7 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.llm import grace, jaccard, langid, packing, pii
-from promptsieve.llm.common import documents, ship, written
+from promptsieve.llm.common import discard, documents, scope, ship, written
+
+
+# Scopes of the tables that each stage wrote for itself, by the stage's name.
+SCOPES: dict[str, list[str]] = {}
+
+
+def _begun(spark: SparkSession, docs: DataFrame, before: str) -> None:
+    """Ready the session and drop the working tables of the stage before, whose written result is
+    ``docs``; they stay if ``docs`` was not written after all and still reads them."""
+    ship(spark)
+    read = docs.inputFiles()
+    for name in SCOPES.pop(before, []):
+        if not any(f"/{name}/" in file for file in read):
+            discard(spark, name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,25 +37,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the largest id."""
-    ship(spark)
-    return grace.deduplicated(docs)
+    _begun(spark, docs, "language")
+    with scope("exact_duplicates") as name:
+        SCOPES.setdefault("exact_duplicates", []).append(name)
+        return grace.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of documents linked by a Jaccard index of 0.8 on five-word shingles the one with the smallest id."""
-    ship(spark)
-    return jaccard.deduplicated(docs, n=5, num=80, den=100)
+    _begun(spark, docs, "exact_duplicates")
+    with scope("near_duplicates") as name:
+        SCOPES.setdefault("near_duplicates", []).append(name)
+        return jaccard.deduplicated(docs, n=5, num=80, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets and counts the characters anew."""
-    ship(spark)
+    _begun(spark, docs, "near_duplicates")
     return pii.masked(docs, pii.train()).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, neighbours along the curve together, with their ids."""
-    ship(spark)
+    _begun(spark, docs, "personal_data")
     return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 

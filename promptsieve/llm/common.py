@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -61,10 +62,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/promptsieve-{spark.conf.get('spark.app.id', 'session')}"
 
 
+SCOPE = ["work"]  # the folder below the application's that tables are written to just now
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables written inside go to a folder of their own, which ``discard`` deletes."""
+    SCOPE.append(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield SCOPE[-1]
+    finally:
+        SCOPE.pop()
+
+
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete the tables of one scope, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{SCOPE[-1]}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -79,8 +99,7 @@ def rereadable(docs: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder, once their results are consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, "")
 
 
 def extended(frame: DataFrame, **kinds: str) -> T.StructType:
