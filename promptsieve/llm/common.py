@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -144,20 +145,20 @@ def folded(frame: DataFrame, blocks: Callable[[Iterator[pa.RecordBatch]], Iterat
     """Sum of one fixed-size array of counts per partition.
 
     ``blocks`` turns a partition into (block number, counts) pairs.  The partial blocks are
-    shuffled by block number and added as they stream by, so a task holds a few blocks however
+    packed, shuffled by block number and added as they stream by, so a task holds a few blocks however
     many partitions there are; the driver receives ``cells`` numbers.
     """
     def partial(batches):
         for number, counts in blocks(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int32()), pa.array([counts.astype("<u4").tobytes()], pa.binary())],
+                [pa.array([number], pa.int32()), pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())],
                 names=["block", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                value = np.frombuffer(counts, "<u4").astype("<i8")
+                value = np.frombuffer(zlib.decompress(counts), "<u4").astype("<i8")
                 held[number] = held[number] + value if number in held else value
         if held:
             yield pa.RecordBatch.from_arrays(

@@ -39,13 +39,17 @@ from pyspark.sql import functions as F
 from promptsieve.llm.common import bit_of, bitmap, extended, flags, folded, passed, rereadable, slices, written
 from promptsieve.llm.graph import components
 
-CELLS, BLOCK = 1 << 20, 4096
+CELLS, BLOCK = 1 << 22, 4096
 PARTS = 64
 GRAM_BITS = 1 << 26
 KNOWN = 150_000
 SLICE = 4 << 20
 
 
+# Postings of which not every pair meets in the first round; of three members two different ones meet all.
+OPEN = "members > 3 or members = 3 and one.row = two.row"
+
+
 class Hashes(dict):
     """64-bit hash of each word met; emptied when full."""
 
@@ -84,7 +88,7 @@ def gram_set(text: bytes, n: int) -> np.ndarray:
 
 
 def _cells(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(44)).astype(np.int64)
+    return (codes >> np.uint64(42)).astype(np.int64)
 
 
 def frequencies(rows: DataFrame, n: int) -> np.ndarray:
@@ -98,7 +102,7 @@ def frequencies(rows: DataFrame, n: int) -> np.ndarray:
             if held[at:at + BLOCK].any():
                 yield at // BLOCK, held[at:at + BLOCK]
 
-    return folded(rows, blocks, CELLS, BLOCK)
+    return np.minimum(folded(rows, blocks, CELLS, BLOCK), (1 << 31) - 1).astype(np.int32)
 
 
 def _prefixes(shared, n: int, num: int, den: int):
@@ -267,7 +271,7 @@ class Join:
         found = written(self.verified(pairs, prepared), "join-links")
         groups = components(found)
         # Once more for members still apart from the largest component of their posting.
-        named = self._named(postings.filter("members > 2"), groups)
+        named = self._named(postings.filter(OPEN), groups)
         apart = named.filter("part <> largest")
         hubs = named.groupBy("gram").agg(
             _drawn(F.when(F.col("part") == F.col("largest"), F.col("centre"))).alias("three"),
@@ -278,7 +282,7 @@ class Join:
         if not again.isEmpty():
             found = found.union(again)
             groups = components(found)
-            named = self._named(postings.filter("members > 2"), groups)
+            named = self._named(postings.filter(OPEN), groups)
         rest = self._across(named).join(pairs.union(more), ["a", "b"], "left_anti")
         last = written(self.verified(rest, prepared), "join-links")
         return groups if last.isEmpty() else components(found.union(last))
