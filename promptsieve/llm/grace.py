@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.llm.common import extended, slices, written
 
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 16 << 20
 FAN_OUT = 16
 
 

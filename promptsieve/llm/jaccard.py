@@ -94,10 +94,10 @@ def _cells(codes: np.ndarray) -> np.ndarray:
 def frequencies(rows: DataFrame, n: int) -> np.ndarray:
     """Per sketch cell in how many documents' sets its n-grams are; rows are (row, key, text)."""
     def blocks(batches):
-        held = np.zeros(CELLS, np.int64)
+        held = np.zeros(CELLS, np.uint32)
         for batch in slices(batches, 2, SLICE):
-            sets = [gram_set(t, n) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            held += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                np.add.at(held, _cells(gram_set(text, n)), 1)
         for at in range(0, CELLS, BLOCK):
             if held[at:at + BLOCK].any():
                 yield at // BLOCK, held[at:at + BLOCK]
