@@ -109,7 +109,7 @@ def _screener(spark, sf):
 
 def scored_cross_dataset(spark, sf):
     every = external(spark, sf)
-    sets = {n: (lambda n=n: every.where(F.col("dataset") == n)) for n in ("goals", "typed")}
+    sets = {n: (lambda n=n: every.where(F.col("dataset") == n)) for n in ("goals", "typed", "questions", "hub")}
     sets["missing"] = lambda: spark.read.parquet(f"{sf}/not-there.parquet")
     judged, failed = SC.judged_sets(sets, _screener(spark, sf).detect)
     skipped = spark.createDataFrame([(n, 0) for n in failed], "dataset string, n long")

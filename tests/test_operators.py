@@ -265,3 +265,15 @@ def test_the_buffer_drops_old_hours_before_ranking(spark):
         ids = sorted(i for s, i in rows if s == stream)[-5000:]
         assert newest[stream] == (len(ids), ids[0])
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scorer_judges_every_external_set(spark, sf, monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import data_checks, model_checks
+
+    stand_in = SimpleNamespace(detect=lambda frame: frame.withColumn("pred", F.lit(1)))
+    monkeypatch.setattr(model_checks, "_screener", lambda *_: stand_in)
+    got = {r["dataset"]: r["n"] for r in model_checks.scored_cross_dataset(spark, sf).collect()}
+    want = {r["dataset"]: r["count"] for r in data_checks.external(spark, sf).groupBy("dataset").count().collect()}
+    assert len(want) == 4 and got == {**want, "missing": 0}
