@@ -30,9 +30,7 @@ from promptsieve.llm.common import extended, slices
 SAMPLE = {1: 2000, 0: 4000}  # texts of each label at most
 SAMPLE_BYTES = 12_000_000    # of each label, about
 WORDS, STRIDE = 8, 4
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 400
-SHARE = 0.025                # of toxic texts that a telling beginning is in, at least
-WEAKEST = 0.3                # excess of a telling beginning, against the strongest one
+ORDINARY_BYTES, TOXIC_BYTES = 4096, 32768
 TOP = 9                      # savings from here on are counted together
 SLICE = 4 << 20
 
@@ -129,8 +127,7 @@ def telling(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_BYTES)
     mine = Counter()
     for text in toxic:
         mine.update(_beginnings(text))
-    enough = max(3, SHARE * len(toxic))  # the own words of one text and its copies are not enough
-    mine = {g: n for g, n in mine.items() if n >= enough}
+    mine = {g: n for g, n in mine.items() if n >= 3}  # the own words of one text and a copy are not enough
     theirs = Counter()
     for text in ordinary:
         theirs.update(g for g in _beginnings(text) if g in mine)
@@ -141,13 +138,15 @@ def telling(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_BYTES)
         return (mine[g] - expected) / math.sqrt(expected * (1 - share) + 1)
 
     least = max(3.0, math.sqrt(2 * math.log(len(mine) + 2)))  # beyond the largest chance excess of so many
-    content, kept = b"", []
+    content, kept, begun = b"", set(), set()
     ranked = sorted(((excess(g), len(g), g) for g in mine), reverse=True)
     for score, _, g in ranked:
-        if score < max(least, WEAKEST * ranked[0][0]) or len(content) + len(g) > room:
+        if score < least or len(content) + len(g) > room:
             break
-        if not any(g.startswith(k) or k.startswith(g) for k in kept):
-            kept.append(g)
+        heads = {g[:n] for n in range(5, len(g) + 1)}
+        if g not in begun and not heads & kept:  # neither continues the other
+            kept.add(g)
+            begun |= heads
             content = g + content
     return content
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,3 +36,14 @@ def test_odd_rows(spark, odd, none):
     assert len(got) == odd.count() and len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1
     assert {r.score for r in toxicity.scores(odd, toxicity.train([(0, b"only one label")])).collect()} == {0.0}
     assert toxicity.scores(none, None).count() == 0 and toxicity.train(toxicity.sample(none, labels, F.lit(True))) is None
+
+
+def test_rare_telling_words_enter_beside_a_dominant_one():
+    pick = random.Random(6)
+    plain = [f"plain{pick.randrange(10**6)}" for _ in range(500)]
+    own = lambda n: [pick.choice(plain) for _ in range(n)]
+    rare = [f"{a}{b}vile" for a in "bdfgk" for b in ("ar", "el", "im", "on", "uz", "yp", "ac", "ed")]
+    toxic = [" ".join([*own(20), "dominant" if i % 2 else rare[i // 2 % 40], *own(20)]).encode() for i in range(1600)]
+    ordinary = [" ".join(own(41)).encode() for _ in range(2000)]
+    found = toxicity.telling(toxic, ordinary)
+    assert all(f" {w}"[:5].encode() in found for w in [*rare, "dominant"])
