@@ -109,6 +109,14 @@ def extended(frame: DataFrame, **kinds: str) -> T.StructType:
     return T.StructType([*(T.StructField(f.name, f.dataType) for f in frame.schema), *added])
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, with further underscores if the frame has such a column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(column: str) -> Column:
     return F.col(column).cast("string")
 

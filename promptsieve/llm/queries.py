@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsieve.llm import bpe, grace, imatch, jaccard, langid, licenses, packing, passages, pii, toxicity
-from promptsieve.llm.common import crc_of_id, documents
+from promptsieve.llm import bpe, grace, imatch, jaccard, langid, licenses, mixing, packing, passages, pii, toxicity, tries, zones
+from promptsieve.llm.common import crc_of_id, documents, ship
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,28 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return zones.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tries.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_ngram_jaccard, op3_compression_toxicity, op4_grace_dedup, op5_compact_windows, op6_crf_pii, op7_imatch, op8_ppm_language, op9_hilbert_packing, op10_bpe_round_trip,
+    op11_systematic_mix, op12_zone_clusters, op13_prefix_trie,
 )}
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
     "op4_grace_dedup": grace.ORACLE,
+    "op11_systematic_mix": mixing.ORACLE,
+    "op12_zone_clusters": zones.oracle(),
+    "op13_prefix_trie": tries.ORACLE,
 }
