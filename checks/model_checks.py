@@ -80,7 +80,7 @@ def scored(spark, sf, split):
 
 def retrained(spark, sf):
     table, _ = _table(spark, sf)
-    again = G.Guard.fit(table, G.inputs(use_tfidf=False), {"forest": LN.forest(8, 5)}, splits=("train", "val"))
+    again = G.Guard.fit(table, G.inputs(), small_learners(), splits=("train", "val"), meta_iterations=25)
     return rounded(G.test_report(again.predict(table.where("split = 'test'"))))
 
 
@@ -94,7 +94,7 @@ def feedback_retraining(spark, sf):
 
 def feature_ablation(spark, sf):
     table, model = _table(spark, sf)
-    return rounded(G.ablation(table, lambda: {"forest": LN.forest(5, 4)}, len(model.terms)))
+    return rounded(G.ablation(table, small_learners, len(model.terms), meta_iterations=25))
 
 
 @lru_cache(maxsize=4)

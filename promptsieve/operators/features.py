@@ -7,7 +7,7 @@ columns nobody refers to.  There is no shuffle anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -425,16 +425,16 @@ STRUCTURAL_NEEDS = {
 }
 
 
-def _staged(texts: DataFrame) -> DataFrame:
+def _staged(texts: DataFrame, kept: Sequence[str]) -> DataFrame:
     base = texts.select(
-        "prompt_id", F.col("prompt_text").alias("t"), F.lower("prompt_text").alias("low")
+        *kept, F.col("prompt_text").alias("t"), F.lower("prompt_text").alias("low")
     )
     tokens = base.select(
-        "prompt_id", "t", "low", X.words(T()).alias("w"),
+        *kept, "t", "low", X.words(T()).alias("w"),
         gram_masses(T(), (1,)).alias("char_grams"), gram_masses(LOW(), (3, 4)).alias("low_grams"),
     )
     return tokens.select(
-        "prompt_id", "t", "low", "w", "char_grams", "low_grams",
+        *kept, "t", "low", "w", "char_grams", "low_grams",
         F.length("t").alias("nc"), F.size("w").alias("nw"),
         F.greatest(_count(".", "!", "?"), F.lit(1.0)).alias("sentences"),
         F.transform("w", F.length).alias("lengths"),
@@ -455,8 +455,8 @@ def _staged(texts: DataFrame) -> DataFrame:
     )
 
 
-def features(texts: DataFrame, groups: Iterable[str] | None = None, corrected: bool = True) -> DataFrame:
-    """(prompt_id, features of the groups) as doubles, columns in name order.
+def features(texts: DataFrame, groups: Iterable[str] | None = None, corrected: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(prompt_id, columns to keep, features of the groups) as doubles, features in name order.
 
     ``corrected=False`` keeps two published features at their constant 0.
     """
@@ -464,6 +464,7 @@ def features(texts: DataFrame, groups: Iterable[str] | None = None, corrected: b
     columns: dict[str, Column] = {}
     for group in builders if groups is None else groups:
         columns.update(builders[group]())
-    return _staged(texts).select(
-        "prompt_id", *[columns[n].cast("double").alias(n) for n in sorted(columns)]
+    kept = ("prompt_id", *keep)
+    return _staged(texts, kept).select(
+        *kept, *[columns[n].cast("double").alias(n) for n in sorted(columns)]
     )

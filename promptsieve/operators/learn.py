@@ -1,14 +1,14 @@
 """Training, stacking, calibration and model evaluation with Spark ML.
 
-Driver loops run over folds and learners (a dozen fits), never over data.  Training
-reads its feature table many times, so callers write that table once (see plans).
+Driver loops run over folds and learners, never over data, and their fits run at the same
+time.  Training reads its feature table many times, so callers write that table once (see plans).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.operators import evaluate as E
+from promptsieve.together import together
 
 LABEL = "is_malicious"
 
@@ -68,14 +69,6 @@ def _scored(model, frame: DataFrame, name: str) -> DataFrame:
     return out.drop("rawPrediction", "probability", "prediction")
 
 
-def balanced_weights(frame: DataFrame, label: str = LABEL) -> DataFrame:
-    """Adds ``weight`` = n / (2 * class size)."""
-    counts = {r[label]: r["n"] for r in frame.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * counts.get(1, 1)))).otherwise(F.lit(n / (2.0 * counts.get(0, 1))))
-    return frame.withColumn("weight", weight)
-
-
 def linear_probe(train: DataFrame, test: DataFrame, column: str = "embedding", c: float = 1.0) -> DataFrame:
     """(prompt_id, label, score, pred) of logistic regression on raw embeddings."""
     vec = lambda frame: frame.select("prompt_id", LABEL, array_to_vector(F.col(column)).alias("features"))
@@ -103,14 +96,18 @@ class Stack:
 
     def fit(self, train: DataFrame) -> Stack:
         """``train`` has features, the label and ``fold`` in 0..folds-1."""
-        self.models = {n: learner.fit(train) for n, learner in self.learners.items()}
+        parts = [None, *(range(self.folds) if len(self.learners) > 1 else ())]  # None: no fold is held out
+        fit = lambda learner, k: learner.fit(train if k is None else train.where(F.col("fold") != k))
+        fitted = together(train.sparkSession, {
+            (n, k): partial(fit, learner, k) for k in parts for n, learner in self.learners.items()})
+        self.models = {n: fitted[n, None] for n in self.learners}
         if len(self.learners) == 1:
             return self
         held_out = []
         for k in range(self.folds):
-            rest, part = train.where(F.col("fold") != k), train.where(F.col("fold") == k)
-            for name, learner in self.learners.items():
-                part = _scored(learner.fit(rest), part, f"p_{name}")
+            part = train.where(F.col("fold") == k)
+            for name in self.learners:
+                part = _scored(fitted[name, k], part, f"p_{name}")
             held_out.append(part)
         joined = self._meta_input(reduce(DataFrame.unionByName, held_out))
         self.meta = logistic(train.count(), max_iter=self.meta_iterations).fit(joined)
@@ -181,40 +178,61 @@ def bootstrap_interval(cells: DataFrame, draws: int = 500, seed: int = 42, level
     )
 
 
-def scale_columns(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Both frames standardised by the train mean and population deviation (0 becomes 1)."""
-    row = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
-    ).first()
-    scaled = lambda f: f.select(
-        *[c for c in f.columns if c not in columns],
-        *[((F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0)).alias(c) for c in columns],
-    )
-    return scaled(train), scaled(test)
+def fold_statistics(frame: DataFrame, columns: Sequence[str], label: str = LABEL) -> dict[int, dict]:
+    """Rows per class, and mean and population deviation (0 becomes 1) of each column, over the rows outside each fold.
+
+    One aggregation over the folds; counts, means and variances of the other folds are then combined.
+    """
+    rows = frame.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("positive"),
+        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.var_pop(c).alias(f"v_{c}") for c in columns],
+    ).collect()
+    found = {}
+    for held_out in rows:
+        others = [r for r in rows if r["fold"] != held_out["fold"]]
+        n, scale = sum(r["n"] for r in others), {}
+        for c in columns:
+            mean = sum(r["n"] * r[f"m_{c}"] for r in others) / max(n, 1)
+            spread = sum(r["n"] * (r[f"v_{c}"] + (r[f"m_{c}"] - mean) ** 2) for r in others) / max(n, 1)
+            scale[c] = (mean, spread ** 0.5 or 1.0)
+        found[held_out["fold"]] = {"n": n, "positive": sum(r["positive"] for r in others), "scale": scale}
+    return found
 
 
 def cross_validate(frame: DataFrame, columns: Sequence[str], learners: Mapping, folds: int = 5) -> DataFrame:
     """Pooled metrics, mean fold balanced accuracy and its interval per learner, best first.
 
-    ``frame`` has the columns, the label and ``fold``.  Class weights are in the column ``weight``,
-    for learners that name it as theirs.
+    ``frame`` has the columns, the label and ``fold``.  Each fold's rows are standardised by the others' means and
+    deviations.  Class weights are in the column ``weight``, for learners that name it as theirs.
     """
-    rows = []
-    for name, learner in learners.items():
-        parts = []
-        for k in range(folds):
-            train, test = scale_columns(frame.where(F.col("fold") != k), frame.where(F.col("fold") == k), columns)
-            model = learner.fit(assemble(balanced_weights(train), columns))
-            parts.append(_scored(model, assemble(test, columns), "score").select(LABEL, "fold", "score"))
-        pooled = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") > 0.5).cast("int"))
+    spark, statistics = frame.sparkSession, fold_statistics(frame, columns)
+
+    def scaled(k: int, rows: DataFrame) -> DataFrame:
+        s = statistics[k]
+        weight = F.when(F.col(LABEL) == 1, s["n"] / (2.0 * max(s["positive"], 1))).otherwise(s["n"] / (2.0 * max(s["n"] - s["positive"], 1)))
+        plain = rows.select(LABEL, "fold", weight.alias("weight"), *[((F.col(c) - m) / d).alias(c) for c, (m, d) in s["scale"].items()])
+        return assemble(plain, columns)
+
+    present = [k for k in range(folds) if k in statistics]
+    models = together(spark, {
+        (name, k): partial(lambda learner, k: learner.fit(scaled(k, frame.where(F.col("fold") != k))), learner, k)
+        for name, learner in learners.items() for k in present})
+
+    def judged(name: str) -> DataFrame:
+        parts = [_scored(models[name, k], scaled(k, frame.where(F.col("fold") == k)), "score").select(LABEL, "fold", "score") for k in present]
+        pooled = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") > 0.5).cast("int")).persist()
         cells = E.confusion(pooled, F.col("pred"))
         per_fold = E.with_metrics(E.confusion(pooled, F.col("pred"), by=["fold"]), ("balanced_accuracy",))
-        one = E.with_metrics(cells, ("f1", "mcc", "precision", "recall", "fpr", "fnr")).withColumn("_k", F.lit(1))
-        mean = per_fold.agg(F.avg("balanced_accuracy").alias("balanced_accuracy")).withColumn("_k", F.lit(1))
-        auc = E.roc_auc(E.ranked(pooled)).withColumn("_k", F.lit(1))
-        interval = bootstrap_interval(cells).withColumn("_k", F.lit(1))
-        rows.append(one.join(mean, "_k").join(auc, "_k").join(interval, "_k").drop("_k").withColumn("learner", F.lit(name)))
-    return reduce(DataFrame.unionByName, rows).orderBy(F.col("balanced_accuracy").desc(), "learner")
+        one = E.with_metrics(cells, ("f1", "mcc", "precision", "recall", "fpr", "fnr")).first().asDict()
+        one |= per_fold.agg(F.avg("balanced_accuracy").alias("balanced_accuracy")).first().asDict()
+        one |= E.roc_auc(E.ranked(pooled)).first().asDict() | bootstrap_interval(cells).first().asDict()
+        pooled.unpersist()
+        return one | {"learner": name}
+
+    rows = together(spark, {name: partial(judged, name) for name in learners})
+    found = sorted(rows.values(), key=lambda r: (-r["balanced_accuracy"], r["learner"]))
+    kinds = ", ".join(f"{c} {'string' if c == 'learner' else 'long' if c in ('tp', 'fp', 'tn', 'fn') else 'double'}" for c in found[0])
+    return spark.createDataFrame([tuple(r.values()) for r in found], kinds)
 
 
 def overfit_ratio(train: DataFrame, validation: DataFrame, score: str = "score") -> DataFrame:

@@ -6,41 +6,59 @@ run reads columns of it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve import lexicon as L
 from promptsieve.functions import vectors as V
+from promptsieve.functions.hashing import unit_hash
 from promptsieve.operators import evaluate as E
 from promptsieve.operators import learn as LN
 from promptsieve.operators import prepare as PR
 from promptsieve.operators.features import features
 from promptsieve.operators.tfidf import TfidfModel
 from promptsieve.streaming.feedback import shared_folder
+from promptsieve.together import AT_ONCE, together
 
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
+def _training(prompts: DataFrame, placed: DataFrame, seed: int) -> DataFrame:
+    """The prompts of the training split, told by their hash alone.
+
+    The split takes the first of each class in hash order, so one bound per class says who is in it and
+    no text moves to meet its split.
+    """
+    place = lambda: F.struct(unit_hash(F.col("prompt_id"), seed).alias("h"), F.col("prompt_id").alias("id"))
+    bounds = placed.where("split = 'train'").groupBy("is_malicious").agg(F.max(place()).alias("last")).collect()
+    kind = dict(prompts.dtypes)["prompt_id"]
+    within = [
+        F.col("is_malicious").eqNullSafe(F.lit(r["is_malicious"]))
+        & (place() <= F.struct(F.lit(r["last"]["h"]).alias("h"), F.lit(r["last"]["id"]).cast(kind).alias("id")))
+        for r in bounds
+    ]
+    return prompts.where(reduce(or_, within, F.lit(False)))
+
+
 def feature_table(prompts: DataFrame, max_terms: int = 5000, seed: int = 42, folder: str | None = None) -> tuple[DataFrame, TfidfModel]:
     """(prompt_id, label, split, fold, 117 features, tfidf) as a written table.
 
     The split and folds are exact inside each class; the vocabulary is fitted on the
-    training rows only.
+    training rows only.  Texts are reduced to numbers in their rows, by one projection; only those meet
+    the split and fold.  Rows of equal id share these.
     """
-    ids = prompts.select("prompt_id", "is_malicious")
+    ids = prompts.groupBy("prompt_id").agg(F.max("is_malicious").alias("is_malicious"))
     split = PR.stratified_split(ids, SHARES, seed=seed)
-    placed = PR.stratified_folds(split, 3, ["split", "is_malicious"], seed=seed + 1)
-    keys = placed.select("prompt_id", "split", "fold")
-    train = prompts.join(keys.where("split = 'train'").select("prompt_id"), "prompt_id", "left_semi")
-    model = TfidfModel.fit(train, max_terms)
-    terms = model.transform(prompts).select(
-        "prompt_id", V.sparse(len(model.terms), F.col("term_ids"), F.col("weights")).alias("tfidf")
-    )
-    table = features(prompts).join(terms, "prompt_id").join(placed, "prompt_id")
+    placed = PR.stratified_folds(split, 3, ["split", "is_malicious"], seed=seed + 1).select("prompt_id", "is_malicious", "split", "fold")
+    model = TfidfModel.fit(_training(prompts, placed, seed), max_terms)
+    weighed = model.with_weights(prompts.select("prompt_id", "is_malicious", "prompt_text")).withColumn(
+        "tfidf", V.sparse(len(model.terms), F.col("term_ids"), F.col("weights")))
+    table = features(weighed, keep=("is_malicious", "tfidf")).join(placed.drop("is_malicious"), "prompt_id")
     target = folder or shared_folder(prompts.sparkSession, "features")
     table.write.mode("overwrite").parquet(target)
     return prompts.sparkSession.read.parquet(target), model
@@ -107,18 +125,21 @@ def experiments() -> dict[str, list[str]]:
     return {**runs, **{f"no_{g}": inputs(without=[g]) for g in L.FEATURE_GROUPS}}
 
 
-def ablation(table: DataFrame, learners, n_terms: int, runs: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def ablation(table: DataFrame, learners: Callable[[], Mapping], n_terms: int, runs: Mapping[str, Sequence[str]] | None = None,
+             meta_iterations: int = 1000, at_once: int = AT_ONCE) -> DataFrame:
     """One result row per experiment on column subsets of one feature table.
 
-    ``learners`` is a function giving fresh base learners for each run.
+    ``learners`` is a function giving fresh base learners for each run; ``at_once`` runs are fitted at the same time.
     """
-    rows = []
-    for name, columns in (runs or experiments()).items():
-        guard = Guard.fit(table, columns, learners())
+    spark = table.sparkSession
+
+    def one(name: str, columns: Sequence[str]) -> dict:
+        guard = Guard.fit(table, columns, learners(), meta_iterations=meta_iterations)
+        row = test_report(guard.predict(table.where("split = 'test'"))).first().asDict()
         total = len(columns) + (n_terms - 1 if "tfidf" in columns else 0)
-        rows.append(test_report(guard.predict(table.where("split = 'test'"))).withColumn(
-            "experiment", F.lit(name)
-        ).withColumn("total_features", F.lit(total)).withColumn("threshold", F.lit(guard.threshold)).withColumn(
-            "ece", F.lit(guard.ece)
-        ))
-    return reduce(DataFrame.unionByName, rows)
+        return row | {"experiment": name, "total_features": total, "threshold": guard.threshold, "ece": guard.ece}
+
+    rows = list(together(spark, {n: partial(one, n, c) for n, c in (runs or experiments()).items()}, at_once).values())
+    whole = ("tp", "fp", "tn", "fn")
+    kinds = ", ".join(f"{c} {'string' if c == 'experiment' else 'int' if c == 'total_features' else 'long' if c in whole else 'double'}" for c in rows[0])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
