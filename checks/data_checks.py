@@ -11,6 +11,7 @@ from checks.scorer_checks import SCORED, prompts
 from checks.signal_checks import METRIC_SQL, SIGNALS, cells_sql, composite_table, rounded
 from checks.sql import LABELS, SCORES, SEEDED, TEXTS, VECTORS, hashed, quote, sql_list
 from promptsieve import lexicon as L
+from promptsieve.functions import unicode as UN
 from promptsieve.operators import compare as CP
 from promptsieve.operators import decision as D
 from promptsieve.operators import evaluate as E
@@ -18,6 +19,7 @@ from promptsieve.operators import patterns as P
 from promptsieve.operators import prepare as PR
 from promptsieve.operators import robustness as R
 from promptsieve.operators import signals as S
+from promptsieve.plans import holdout as HO
 from promptsieve.sources import tables as T
 
 INFERRED = ("documents", "conversations", "pages", "benchmark")
@@ -112,6 +114,10 @@ QUERIES = {
     "length_filter": lambda s, sf: PR.length_filter(T.texts(s, sf)).select("prompt_id", F.length("prompt_text").alias("n_chars")),
     "category_downsampling": lambda s, sf: _split_counts(PR.downsample_category(ids(s, sf), "jailbreak", 0.2), "attack_category"),
     "external_sets": external,
+    "normalised_texts": lambda s, sf: T.seeded_texts(s, sf).select(
+        "prompt_id", F.md5(UN.without_marks(F.col("prompt_text")).cast("binary")).alias("digest"),
+        F.md5(UN.leet(UN.one_spelling(F.col("prompt_text"))).cast("binary")).alias("leet_digest")),
+    "leave_one_out_sides": lambda s, sf: HO.side_sizes(HO.with_quoting(external(s, sf))),
     "external_caps": lambda s, sf: PR.cap_datasets(external(s, sf).select("dataset", "item_id", "is_malicious"), 250),
     "embedding_alignment": lambda s, sf: T.vectors(s, sf).select("prompt_id", "label").join(ids(s, sf), "prompt_id"),
     "robustness_transforms": lambda s, sf: R.transformed(T.seeded_texts(s, sf)).select(
@@ -161,6 +167,7 @@ def infer_sql() -> str:
     return " union all ".join(parts)
 
 
+_SPELLED = r"trim(regexp_replace(lower(strip_accents(prompt_text)), '\s+', ' ', 'g'))"
 EXTERNAL = """ext as (
   select 'goals' as dataset, item_id, coalesce(text, '') as prompt_text, 1 as is_malicious from benchmark
   union all select 'goals', page_id, coalesce(url, ''), 0 from pages
@@ -261,6 +268,13 @@ select prompt_id, is_malicious, cast(avg(cast(is_malicious as double)) over (par
     "length_filter": f"with {TEXTS} select prompt_id, cast(length(prompt_text) as integer) as n_chars from texts where length(prompt_text) between 5 and 20000",
     "category_downsampling": f"with {LABELS} select attack_category, count(*) as n from labelled where attack_category <> 'jailbreak' or {hashed('prompt_id')} < {int(0.2 * (1 << 32))} group by 1",
     "external_sets": f"with {EXTERNAL} select * from ext",
+    "normalised_texts": f"""with {SEEDED} select prompt_id, md5(strip_accents(prompt_text)) as digest,
+  md5(translate({_SPELLED}, '0134578@$', 'oieastbas')) as leet_digest from seeded""",
+    "leave_one_out_sides": f"""with {EXTERNAL}, g as (select dataset, md5({_SPELLED}) as g from ext),
+q as (select g, list(distinct dataset) as sets from g group by 1),
+m as (select dataset, unnest(sets) as held_out from g join q using (g)),
+h as (select held_out, count(case when dataset = held_out then 1 end) as n_test, count(case when dataset <> held_out then 1 end) as n_left_out from m group by 1)
+select held_out, (select count(*) from ext) - n_test - n_left_out as n_train, n_test, n_left_out from h""",
     "external_caps": f"with {EXTERNAL}, {rank_sql('ext', 'dataset', 'item_id')} select dataset, item_id, is_malicious from rk where rank <= 250",
     "embedding_alignment": f"with {VECTORS}, {LABELS} select prompt_id, v.label, l.is_malicious, l.attack_category from vecs v join labelled l using (prompt_id)",
     "robustness_transforms": f"with {SEEDED}, var as ({_VARIED.replace('from smp', 'from seeded')}) select prompt_id, transform, md5(txt) as digest from var",

@@ -25,6 +25,7 @@ from promptsieve.operators import robustness as R
 from promptsieve.operators import signals as S
 from promptsieve.operators import tfidf as TF
 from promptsieve.plans import guard as G
+from promptsieve.plans import holdout as HO
 from promptsieve.plans import screen as SC
 from promptsieve.sources import tables as T
 from promptsieve.streaming import feedback as SF
@@ -97,6 +98,10 @@ def feature_ablation(spark, sf):
     return rounded(G.ablation(table, small_learners, len(model.terms), meta_iterations=25))
 
 
+def leave_one_out(spark, sf):
+    return rounded(HO.leave_one_out(HO.holdout_table(external(spark, sf)), L.FEATURE_NAMES, lambda n: LN.forest(8, 5)))
+
+
 @lru_cache(maxsize=4)
 def _screener(spark, sf):
     table, model, guard = _trained(spark, sf)
@@ -132,6 +137,7 @@ QUERIES = {
     "retrained_report": retrained,
     "feedback_retraining": feedback_retraining,
     "feature_ablation": feature_ablation,
+    "leave_one_out": leave_one_out,
 }
 # The table's features are those of features_all; its split and folds are ranks within the classes.
 ORACLES = {

@@ -9,8 +9,10 @@ from checks.sql import LABELS, SEEDED, quote, words
 from promptsieve import lexicon as L
 from promptsieve.operators import keywords as K
 from promptsieve.operators import patterns as P
+from promptsieve.operators import summaries as SM
 from promptsieve.operators import tfidf as TF
 from promptsieve.sources import tables as T
+from promptsieve.streaming.feedback import shared_folder
 
 WORD_FEATURES, CHAR_FEATURES = 5000, 10000
 
@@ -28,6 +30,15 @@ def turns(spark, sf):
     )
 
 
+def tracked_by_day(spark, sf):
+    """The same from stored summaries of seven days, by id, of which the last is written twice."""
+    days = traffic(spark, sf).withColumn("day", F.col("prompt_id") % 7)
+    folder = shared_folder(spark, "ngram-days")
+    for part in (days, days.where("day = 6")):
+        SM.store(K.summarise_ngrams(part, "day"), folder)
+    return K.track_ngrams(days.drop("day", "prompt_id"), summary=spark.read.parquet(folder).select("cell", "n"))
+
+
 def traffic(spark, sf):
     """Texts blocked by the pattern gate."""
     return P.flag_by_gate(T.seeded_texts(spark, sf), "blocked")
@@ -121,6 +132,7 @@ QUERIES = {
     "keyword_weights": lambda s, sf: rounded(K.fit_keywords(prompts(s, sf))),
     "keyword_scores": _keyword_scores,
     "ngram_tracking": lambda s, sf: rounded(K.track_ngrams(traffic(s, sf))),
+    "ngram_tracking_daily": lambda s, sf: rounded(tracked_by_day(s, sf)),
     "ngram_proposals": lambda s, sf: rounded(K.propose_ngrams(K.track_ngrams(traffic(s, sf)), 20)),
     "tfidf_word_vocabulary": lambda s, sf: rounded(TF.vocabulary(T.seeded_texts(s, sf), WORD_FEATURES, "word")),
     "tfidf_char_vocabulary": lambda s, sf: rounded(TF.vocabulary(T.seeded_texts(s, sf), CHAR_FEATURES, "char")),
@@ -151,6 +163,7 @@ ORACLES = {
 s as (select prompt_id, sum(coalesce(weight, 0)) as s, count(*) as n from x left join kw using (word) group by 1)
 select prompt_id, round(case when n is null then 0 else 1 / (1 + exp(-10 * (s / cast(n as double) - 0.1))) end, 6) as keyword_score from p left join s using (prompt_id)""",
     "ngram_tracking": f"with {_TRACKED} select ngram, blocked, allowed, round(precision, 6) as precision from tracked",
+    "ngram_tracking_daily": f"with {_TRACKED} select ngram, blocked, allowed, round(precision, 6) as precision from tracked",
     "ngram_proposals": f"with {_TRACKED}, k as (select * from tracked order by precision desc, blocked desc, ngram limit 20) select ngram, blocked, allowed, round(precision, 6) as precision from k",
     "tfidf_word_vocabulary": f"with {SEEDED}, {vocab_sql('word', 'seeded', WORD_FEATURES)} select term, tf, df, round(idf, 6) as idf from vocab",
     "tfidf_char_vocabulary": f"with {SEEDED}, {vocab_sql('char', 'seeded', CHAR_FEATURES)} select term, tf, df, round(idf, 6) as idf from vocab",

@@ -240,21 +240,21 @@ def ranked(
 
 
 def roc_auc(rank: DataFrame) -> DataFrame:
-    """Exact area under the ROC curve, ties counting one half."""
+    """Exact area under the ROC curve, ties counting one half; null where a class is missing."""
     above = F.col("tp") - F.col("pos")
     return rank.agg(
-        (
-            F.sum(F.col("neg").cast("double") * (above + F.col("pos") / 2))
-            / (F.max("n_pos").cast("double") * F.max("n_neg"))
+        F.try_divide(
+            F.sum(F.col("neg").cast("double") * (above + F.col("pos") / 2)),
+            F.max("n_pos").cast("double") * F.max("n_neg"),
         ).alias("roc_auc")
     )
 
 
 def average_precision(rank: DataFrame) -> DataFrame:
-    """Step-wise average precision (not the trapezoid)."""
+    """Step-wise average precision (not the trapezoid); null without a positive."""
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return rank.agg(
-        (F.sum(F.col("pos") * precision) / F.max("n_pos")).alias("average_precision")
+        F.try_divide(F.sum(F.col("pos") * precision), F.max("n_pos")).alias("average_precision")
     )
 
 
@@ -263,11 +263,11 @@ def ranking_metrics(rank: DataFrame) -> DataFrame:
     above = F.col("tp") - F.col("pos")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return rank.agg(
-        (
-            F.sum(F.col("neg").cast("double") * (above + F.col("pos") / 2))
-            / (F.max("n_pos").cast("double") * F.max("n_neg"))
+        F.try_divide(
+            F.sum(F.col("neg").cast("double") * (above + F.col("pos") / 2)),
+            F.max("n_pos").cast("double") * F.max("n_neg"),
         ).alias("roc_auc"),
-        (F.sum(F.col("pos") * precision) / F.max("n_pos")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("pos") * precision), F.max("n_pos")).alias("average_precision"),
     )
 
 
