@@ -150,11 +150,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def folded(frame: DataFrame, blocks: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]],
            cells: int, block: int = 4096) -> np.ndarray:
-    """Sum of one fixed-size array of counts per partition.
+    """Sum of one fixed-size array of counts per partition, up to 2**31 - 1.
 
     ``blocks`` turns a partition into (block number, counts) pairs.  The partial blocks are
     packed, shuffled by block number and added as they stream by, so a task holds a few blocks however
-    many partitions there are; the driver receives ``cells`` numbers.
+    many partitions there are; the driver receives ``cells`` 32-bit numbers.
     """
     def partial(batches):
         for number, counts in blocks(batches):
@@ -170,14 +170,16 @@ def folded(frame: DataFrame, blocks: Callable[[Iterator[pa.RecordBatch]], Iterat
                 held[number] = held[number] + value if number in held else value
         if held:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())],
+                [pa.array(list(held), pa.int32()),
+                 pa.array([np.minimum(v, (1 << 31) - 1).astype("<i4").tobytes() for v in held.values()], pa.binary())],
                 names=["block", "counts"])
 
     schema = "block int, counts binary"
     sums = frame.mapInArrow(partial, schema).repartition("block").mapInArrow(add, schema)
-    total = np.zeros(cells, dtype=np.int64)
-    for row in sums.toArrow().to_pylist():
-        total[row["block"] * block:(row["block"] + 1) * block] += np.frombuffer(row["counts"], "<i8")
+    total = np.zeros(cells, dtype=np.int32)
+    for batch in sums.toArrow().to_batches():  # read where they lie, one row per block
+        for number, counts in zip(batch.column(0).to_numpy(), batch.column(1)):
+            total[number * block:(number + 1) * block] = np.frombuffer(counts.as_buffer(), "<i4")
     return total
 
 
@@ -189,7 +191,7 @@ def bit_of(row: Column) -> Column:
 
 
 def bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """Which of ``BITS`` hash buckets hold one of the rows: at most ``BITS`` numbers reach the driver.
+    """Which of ``BITS`` hash buckets hold one of the rows: at most ``BITS / 64`` numbers reach the driver.
 
     A pre-filter that passes every wanted row and few others, until the wanted rows are many millions;
     beyond, more rows pass it and are left to the exact join behind it.
@@ -198,12 +200,15 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
 
 
 def flags(bits: DataFrame, size: int = BITS) -> np.ndarray:
-    """The numbers in ``bit``, below ``size``, as a bitmap."""
-    found = np.zeros(size, bool)
-    found[np.asarray(bits.distinct().toArrow().column(0), dtype=np.int64)] = True
-    return np.packbits(found)
+    """The numbers in ``bit``, below ``size``, as a bitmap, whose 64-bit words are put together by the executors."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)
+    words = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    found = np.zeros(size // 64, "<i8")
+    for batch in words.toArrow().to_batches():
+        found[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return found.view(np.uint8)
 
 
 def passed(bits: np.ndarray, numbers: pa.Array) -> np.ndarray:
     at = np.asarray(numbers, dtype=np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -102,7 +102,7 @@ def frequencies(rows: DataFrame, n: int) -> np.ndarray:
             if held[at:at + BLOCK].any():
                 yield at // BLOCK, held[at:at + BLOCK]
 
-    return np.minimum(folded(rows, blocks, CELLS, BLOCK), (1 << 31) - 1).astype(np.int32)
+    return folded(rows, blocks, CELLS, BLOCK)
 
 
 def _prefixes(shared, n: int, num: int, den: int):
@@ -217,7 +217,9 @@ class Join:
         order = self.spark.sparkContext.broadcast(frequencies(self.rows, self.n))
         schema = extended(self.rows.select("_row", "_key"), _rep="long", _size="long", _digest="binary",
                           _parts="array<tinyint>", _prefix="array<bigint>")
-        return written(self.rows.mapInArrow(_prefixes(order, self.n, self.num, self.den), schema), "join-prefixes")
+        prepared = written(self.rows.mapInArrow(_prefixes(order, self.n, self.num, self.den), schema), "join-prefixes")
+        order.destroy()
+        return prepared
 
     def postings(self, prepared: DataFrame) -> DataFrame:
         """Members of prefix n-grams that two documents or more have, with two members that represent them."""
@@ -231,6 +233,7 @@ class Join:
         # The smaller document of a linked pair has a shared n-gram in this shorter prefix.
         short = f"pos <= n - cast(ceil({2 * num} * n / {num + den}) as bigint)"
         members = written(members.select("gram", "row", "n", "pos", "seen", "own", "centre", F.expr(short).alias("short")), "join-members")
+        bits.destroy()
         hubs = members.groupBy("gram").agg(
             F.count("*").alias("members"), _drawn(F.col("centre")).alias("one"),
             _drawn(F.xxhash64("row")).alias("two")).filter("members > 1")
@@ -259,6 +262,7 @@ class Join:
             bitmap(rest.select(F.explode(F.array("a", "b")).alias("row")), "row"))
         sets = written(self.rows.withColumn("_bit", bit_of(F.col("_row"))).mapInArrow(
             _sets(bits, self.n), "_row long, _set array<bigint>"), "join-sets")
+        bits.destroy()
         overlap = F.size(F.array_intersect("set_a", "set_b"))
         checked = (rest.join(side(sets, "a", ["_set"]), "a").join(side(sets, "b", ["_set"]), "b")
                    .withColumn("overlap", overlap).filter(self.enough.format(overlap="overlap")))
