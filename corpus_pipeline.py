@@ -8,25 +8,40 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.llm import grace, jaccard, langid, packing, pii
 from promptsieve.llm.common import discard, documents, scope, ship, written
 
 
-# Scopes of the tables that each stage wrote for itself, by the stage's name.
-SCOPES: dict[str, list[str]] = {}
+# Working tables of stages by the stage's name: their scope, and what tells that the stage's result was consumed.
+WORKING: dict[str, list[tuple[str, Observation]]] = {}
+
+
+def _working(result: DataFrame, stage: str, name: str) -> DataFrame:
+    """The stage's result, whose working tables are in the scope ``name``."""
+    consumed = Observation()
+    WORKING.setdefault(stage, []).append((name, consumed))
+    return result.observe(consumed, F.count(F.lit(1)).alias("rows"))
 
 
 def _begun(spark: SparkSession, docs: DataFrame, before: str) -> None:
-    """Ready the session and drop the working tables of the stage before, whose written result is
-    ``docs``; they stay if ``docs`` was not written after all and still reads them."""
+    """Ready the session and drop the working tables of the stage before, as far as its results were consumed.
+
+    A result that nobody has read yet, of this run or another, keeps its tables, and so does one
+    that ``docs`` reads directly instead of a written copy.
+    """
     ship(spark)
     read = docs.inputFiles()
-    for name in SCOPES.pop(before, []):
-        if not any(f"/{name}/" in file for file in read):
+    kept = []
+    for name, consumed in WORKING.pop(before, []):
+        if consumed._jo.getRowOrEmpty().isEmpty() or any(f"/{name}/" in file for file in read):
+            kept.append((name, consumed))
+        else:
             discard(spark, name)
+    if kept:
+        WORKING[before] = kept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +54,14 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps of equal texts the row with the largest id."""
     _begun(spark, docs, "language")
     with scope("exact_duplicates") as name:
-        SCOPES.setdefault("exact_duplicates", []).append(name)
-        return grace.deduplicated(docs)
+        return _working(grace.deduplicated(docs), "exact_duplicates", name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of documents linked by a Jaccard index of 0.8 on five-word shingles the one with the smallest id."""
     _begun(spark, docs, "exact_duplicates")
     with scope("near_duplicates") as name:
-        SCOPES.setdefault("near_duplicates", []).append(name)
-        return jaccard.deduplicated(docs, n=5, num=80, den=100)
+        return _working(jaccard.deduplicated(docs, n=5, num=80, den=100), "near_duplicates", name)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
