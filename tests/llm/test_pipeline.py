@@ -4,9 +4,11 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from promptsieve.llm import langid, pii
+from promptsieve.llm.common import written
 
 
 def test_stages_against_brute_force(spark, sf, documents, texts):
@@ -69,3 +71,16 @@ def test_run_is_registered(spark, sf):
     names = entry.queries().keys()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_pending_result_keeps_its_tables(spark, documents):
+    """A stage of one run does not drop what another run has yet to read."""
+    a = corpus_pipeline.exact_duplicates(spark, documents.filter("doc_id < 50"), "")
+    b = corpus_pipeline.exact_duplicates(spark, documents.filter("doc_id >= 50"), "")
+    want = documents.filter("doc_id < 50").select(F.coalesce("text", F.lit(""))).distinct().count()
+    corpus_pipeline.near_duplicates(spark, written(b, "test"), "").count()
+    first = written(a, "test")
+    assert first.count() == want
+    kept = len(corpus_pipeline.WORKING["exact_duplicates"])
+    corpus_pipeline.near_duplicates(spark, first, "").count()
+    assert len(corpus_pipeline.WORKING.get("exact_duplicates", [])) < kept
