@@ -10,7 +10,7 @@ copies of any run of documents is off by less than one.
 
 Documents are summed up in order of their size class (an eighth of a doubling), so that short and long ones are
 taken alike. The order is split into blocks of some thousand documents: by class, and by a hash of the
-id within a class. Only counts of blocks are summed along a source; within a block rows are numbered by a window. So
+id within a class; a block is ordered by size again. Only counts of blocks are summed along a source; within a block rows are numbered by a window. So
 neither a source nor a class that holds most rows is ever sorted in one task. Everything is DataFrame
 expressions, texts are read once to count their words, and the order hangs on the rows' values alone, so reruns agree.
 
@@ -95,7 +95,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     bases = bases.join(goals, F.col("source").eqNullSafe(F.col("of"))).select(
         F.col("source").alias("of"), F.col("class").alias("of_class"), F.col("block").alias("of_block"),
         "base", "source_size", "target", "offset")
-    inside = Window.partitionBy("source", "class", "block").orderBy("draw", "size", "row")
+    inside = Window.partitionBy("source", "class", "block").orderBy("size", "draw", "row")
     ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(
         bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("block") == F.col("of_block")))
     rate = F.col("target") / F.col("source_size")
@@ -139,7 +139,7 @@ goals as (
 blocked as (
     select *, draw % ceil(count(*) over (partition by source, class) / 4096.0)::bigint as block from classed where size > 0),
 ranked as (
-    select *, row_number() over (partition by source order by class, block, draw, size, doc_id) as rank from blocked),
+    select *, row_number() over (partition by source order by class, block, size, draw, doc_id) as rank from blocked),
 drawn as (
     select doc_id, size, source_size, target, target / source_size as rate, rank, offs
     from ranked r join goals g on r.source is not distinct from g.source),
