@@ -11,7 +11,9 @@ token as a whole gets that id at once, as the public library does.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; every row is
 encoded, repeated ones too. Memory is bounded by the slice of texts in hand and a cache of
-``CACHE`` words per worker, which is emptied when full. The recursion keeps the rows of every round,
+``CACHE`` words per worker, which is emptied when full. A text of more than ``PIECE`` characters is
+encoded in pieces, cut where no word can lie across, and ids are decoded ``IDS`` at a time, so DuckDB's
+tables do not grow with one text. The recursion keeps the rows of every round,
 so its cost grows with the square of a word's length; words of over ``LONG`` bytes (unbroken runs of
 one kind of character, such as rulers or encoded data) are contracted in the same order from a heap.
 """
@@ -21,6 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from array import array
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -36,6 +41,11 @@ CACHE = 1_200_000
 SLICE = 4 << 20
 LONG = 128
 BLOCK = 1 << 19
+PIECE = 1 << 20
+IDS = 1 << 18
+# No word of the pattern lies across: before white space, and between punctuation other than an apostrophe and
+# a letter or number.
+BORDER = re.compile(r"\S(?=[ \n])|[!-&(-/:-@[-^{-~、。，！？](?=[^\W_])")
 
 # A row's ``best`` is its word's next contraction, rank and position in one number; null at the fixpoint.
 STEP = """
@@ -63,6 +73,15 @@ DECODE = """
 select doc, string_agg(hex, '' order by pos) from encoded join vocabulary using (id) group by doc"""
 
 
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """The text in pieces of a little over ``most`` characters, whose words together are the text's words."""
+    start = 0
+    while len(text) - start > most and (border := BORDER.search(text, start + most)):
+        yield text[start:border.end()]
+        start = border.end()
+    yield text[start:]
+
+
 class Codec:
     """One worker's DuckDB connection with the vocabulary, the merges and the words met so far."""
 
@@ -123,16 +142,18 @@ class Codec:
 
     def _long(self, raw: bytes) -> bytes:
         """A long word's ids: least rank first, leftmost of equal ranks, neighbours in a linked list."""
-        ends = list(range(1, len(raw) + 1))      # of the token that starts here
-        before = list(range(-1, len(raw) - 1))   # start of the token on the left
+        ends = array("i", range(1, len(raw) + 1))      # of the token that starts here
+        before = array("i", range(-1, len(raw) - 1))   # start of the token on the left
 
         def rank(i):
             return self.ranks.get(raw[i:ends[ends[i]]]) if ends[i] < len(raw) else None
 
-        heap = [(r, i, i + 2) for i in range(len(raw) - 1) if (r := rank(i)) is not None]
+        # Rank, start and end of a pair in one number.
+        heap = [r << 64 | i << 32 | i + 2 for i in range(len(raw) - 1) if (r := rank(i)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            least = heapq.heappop(heap)
+            i, end = least >> 32 & 0xFFFFFFFF, least & 0xFFFFFFFF
             if ends[i] < 0 or ends[i] == len(raw) or ends[ends[i]] != end:
                 continue  # one of the two has been contracted since
             gone = ends[i]
@@ -141,8 +162,8 @@ class Codec:
                 before[end] = i
             for j in (before[i], i):
                 if j >= 0 and (r := rank(j)) is not None:
-                    heapq.heappush(heap, (r, j, ends[ends[j]]))
-        ids, i = [], 0
+                    heapq.heappush(heap, r << 64 | j << 32 | ends[ends[j]])
+        ids, i = array("i"), 0
         while i < len(raw):
             ids.append(self.ranks[raw[i:ends[i]]])
             i = ends[i]
@@ -150,6 +171,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        short = iter(self._encode([t for t in texts if len(t) <= PIECE]))
+        return [next(short) if len(t) <= PIECE else b"".join(self._encode([p])[0] for p in pieces(t)) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [split(t) for t in texts]
         fresh = {w for p in parts for w in p if w not in self.known}
         if len(self.known) + len(fresh) > CACHE:
@@ -160,16 +185,19 @@ class Codec:
         return [b"".join(map(known, p)) for p in parts]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        lengths = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
-        doc = np.repeat(np.arange(len(encoded)), lengths)
-        pos = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.con.register("encoded", pa.table({"doc": pa.array(doc, pa.int32()), "pos": pa.array(pos, pa.int32()),
-                                               "id": np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)}))
-        decoded = [b""] * len(encoded)
-        for n, text in self.con.execute(DECODE).fetchall():
-            decoded[n] = bytes.fromhex(text)
-        self.con.unregister("encoded")
-        return decoded
+        """Bytes of each text's ids."""
+        ids = np.frombuffer(b"".join(encoded), "<u4").view("<i4")
+        ends = np.cumsum([len(e) // 4 for e in encoded], dtype=np.int64)
+        decoded: list[list[bytes]] = [[] for _ in encoded]
+        for start in range(0, len(ids), IDS):
+            pos = np.arange(start, min(start + IDS, len(ids)))
+            doc = np.searchsorted(ends, pos, side="right")
+            self.con.register("encoded", pa.table({"doc": pa.array(doc, pa.int32()), "pos": pa.array(pos, pa.int32()),
+                                                   "id": ids[start:start + IDS]}))
+            for n, text in self.con.execute(DECODE).fetchall():
+                decoded[n].append(bytes.fromhex(text))
+            self.con.unregister("encoded")
+        return [b"".join(d) for d in decoded]
 
 
 CODECS: dict[str, Codec] = {}

@@ -39,6 +39,24 @@ def test_fast_split_equals_the_pattern(texts):
     assert all(split(t) == EXACT.findall(t) for t in [*texts.values(), *ODD])
 
 
+def test_pieces_hold_the_words_of_the_text(texts):
+    mixed = "".join([*texts.values(), *ODD])
+    for whole in (mixed, "。".join(["中文字" * 9] * 300), "it's!'s_a.b" * 500, "no border" + "x" * 5000, ""):
+        for most in (1, 7, 1000):
+            parts = list(bpe.pieces(whole, most))
+            assert "".join(parts) == whole and [w for p in parts for w in EXACT.findall(p)] == EXACT.findall(whole)
+
+
+def test_very_long_texts(encoding):
+    own = bpe.codec(PATH)
+    line = "Many words, 12 numbers; and odd½ ones: 中文字。é🙂 don't\n"
+    rows = [line * (20_000_000 // len(line.encode())), "short", "", "x" * 2_000_000, "ab " * 700_000]
+    encoded = own.encode(rows)
+    for got, text in zip(encoded, rows):
+        assert np.array_equal(np.frombuffer(got, "<u4"), encoding.encode_to_numpy(text, disallowed_special=()))
+    assert own.decode(encoded) == [t.encode() for t in rows]
+
+
 def test_cache_is_bounded(texts, monkeypatch):
     own = bpe.codec(PATH)
     before = own.encode(list(texts.values()))
