@@ -10,19 +10,20 @@ that are advanced together, byte by byte, in numpy; a chunk is warmed up with th
 so cutting changes no code length.  Bytes outside the sample cost the same everywhere in a row and
 share a column.
 
-Defined results: ``und`` and score 0 for a null text or one without a letter; without any labelled text
+Defined results: ``und`` and score 0 for a null text or one without a letter (number signs such
+as a half or a circled one are none); without any labelled text
 every document is ``und``; the score is the posterior of the cheapest language, ties go to the
 language first in order.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ DEPTH = 5
 CELLS = 1 << 22
 CHUNK = 256
 MOST_BITS = 10.0     # a byte, in the best language; a uniform byte costs 8, one unknown to a language more
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

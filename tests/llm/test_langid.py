@@ -62,6 +62,15 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_number_signs_are_no_letters(spark):
+    model = langid.train(SAMPLE)
+    rows = spark.createDataFrame([(1, "½ ² ① 42 Ⅷ"), (2, "½ a"), (3, "ª"), (4, "中"), (5, "_ \u0301")], "doc_id long, text string")
+    for own in (model, None):
+        got = {r.doc_id for r in langid.accepted(rows, own, most_bits=99.0).collect()}
+        assert got == {2, 3, 4}
+    assert {r.doc_id for r in langid.predictions(rows, model).collect() if r.lang_pred == "und"} == {1, 5}
+
+
 def test_odd_rows(odd, none, odd_rows):
     from pyspark.sql import functions as F
 
