@@ -48,7 +48,8 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_
            label: str = "toxic", most: dict = SAMPLE, max_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
     """Labelled texts, at most ``most`` of each label, picked by a hash of the id.
 
-    Only ids and labels are counted and ranked; the picked ids are few enough to send to the texts.
+    Only ids, labels and sizes are counted and ranked; the picked ids are few enough to send to the texts,
+    and of each label those are read whose predecessors have fewer than ``max_bytes`` in all.
     """
     known = labels.filter(allowed & F.col(label).isin(0, 1)).select(
         F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"),
@@ -60,8 +61,12 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_
     picked = (known.join(F.broadcast(counts), "_label").filter(chance)
               .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
               .select("_key", "_label", "_rank"))
-    texts = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
-             .filter(F.length("_text") > 0).select("_label", "_rank", "_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    sizes = (rows.select("_key", F.octet_length("_text").cast("bigint").alias("_size")).join(F.broadcast(picked), "_key")
+             .groupBy("_key", "_label", "_rank").agg(F.sum("_size").alias("_size")))
+    before = F.sum("_size").over(Window.partitionBy("_label").orderBy("_rank")) - F.col("_size")
+    fitting = sizes.withColumn("_before", before).filter(F.col("_before") < max_bytes).select("_key", "_label", "_rank")
+    texts = rows.join(F.broadcast(fitting), "_key").select("_label", "_rank", "_text")
     found, size = [], Counter()
     for row in sorted(texts.toArrow().to_pylist(), key=lambda r: (r["_rank"], r["_label"], r["_text"])):
         raw = row["_text"].encode()

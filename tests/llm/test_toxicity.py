@@ -38,6 +38,17 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.scores(none, None).count() == 0 and toxicity.train(toxicity.sample(none, labels, F.lit(True))) is None
 
 
+def test_sample_is_bounded_by_bytes_before_it_is_read(spark):
+    docs = spark.createDataFrame([(i, f"{i:04d} " * 200) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    whole = toxicity.sample(docs, labels, F.lit(True))
+    bounded = toxicity.sample(docs, labels, F.lit(True), max_bytes=4500)
+    assert len(whole) == 60
+    for label in (0, 1):
+        mine = [t for y, t in whole if y == label]
+        assert [t for y, t in bounded if y == label] == mine[:5]  # the fifth begins below the bound
+
+
 def test_rare_telling_words_enter_beside_a_dominant_one():
     pick = random.Random(6)
     plain = [f"plain{pick.randrange(10**6)}" for _ in range(500)]
