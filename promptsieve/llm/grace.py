@@ -241,7 +241,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
-    """One row per input row: key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
+    """One row per input row: key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``. Keys are whole numbers."""
     rows, groups = grouped(docs, key, text, limit)
     return rows.select("_row", "_key", "_rep", "_digest").join(groups, "_rep").select(
         F.col("_key").alias(key), F.col("_keep_key").alias("keep_id"), F.col("_group_size").alias("group_size"),
