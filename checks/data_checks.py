@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.scorer_checks import SCORED, prompts
-from checks.signal_checks import METRIC_SQL, SIGNALS, cells_sql, composite_table, rounded
+from checks.signal_checks import METRIC_SQL, ORACLES as SIGNAL_SQL, SIGNALS, cells_sql, composite_table, rounded
 from checks.sql import LABELS, SCORES, SEEDED, TEXTS, VECTORS, hashed, quote, sql_list
 from promptsieve import lexicon as L
 from promptsieve.functions import unicode as UN
@@ -20,7 +20,9 @@ from promptsieve.operators import prepare as PR
 from promptsieve.operators import robustness as R
 from promptsieve.operators import signals as S
 from promptsieve.plans import holdout as HO
+from promptsieve.sources import sinks
 from promptsieve.sources import tables as T
+from promptsieve.streaming.feedback import shared_folder
 
 INFERRED = ("documents", "conversations", "pages", "benchmark")
 HALVES = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -31,6 +33,24 @@ def ids(spark, sf):
     return T.labels(spark, sf)
 
 
+def loaded(spark, sf):
+    rows = T.load_prompts(spark, f"{sf}/conversations.parquet", id_col="conv_id", text_col="text", label_col="role",
+                          category_col="role", malicious=("user", "tool"))
+    return rows.select("prompt_id", F.length("prompt_text").alias("n_chars"), F.md5(F.encode("prompt_text", "utf-8")).alias("digest"),
+                       "is_malicious", "attack_category")
+
+
+def reported(spark, sf):
+    """The threshold sweep as read back from a report in each format; computed once, for the first."""
+    report, found = rounded(E.threshold_sweep(T.scores(spark, sf))), []
+    for fmt in ("parquet", "json", "csv"):
+        path = shared_folder(spark, f"report-{fmt}")
+        sinks.write_report(report, path, fmt)
+        report = sinks.read_report(spark, path, fmt, report.schema)
+        found.append(report.withColumn("format", F.lit(fmt)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def inferred(spark, sf):
     found = [(t, *PR.infer_columns(T.table(spark, sf, t), exact=True)) for t in INFERRED]
     return spark.createDataFrame(found, "table_name string, label_column string, text_column string")
@@ -98,6 +118,8 @@ def _split_counts(frame, *keys):
 
 QUERIES = {
     "prompt_table": lambda s, sf: T.prompts(s, sf).select("prompt_id", F.length("prompt_text").alias("n_chars"), "is_malicious", "attack_category"),
+    "load_prompts": loaded,
+    "report_sinks": reported,
     "infer_columns": inferred,
     "class_distribution": lambda s, sf: PR.class_distribution(ids(s, sf)),
     "stratified_sample": lambda s, sf: PR.stratified_sample(ids(s, sf), 300).select("prompt_id", "is_malicious"),
@@ -253,6 +275,9 @@ _FINDINGS = " union all ".join(
 
 ORACLES = {
     "prompt_table": f"with {TEXTS}, {LABELS} select t.prompt_id, cast(length(prompt_text) as integer) as n_chars, is_malicious, attack_category from texts t join labelled using (prompt_id)",
+    "load_prompts": """select conv_id as prompt_id, cast(length(coalesce(text, '')) as integer) as n_chars, md5(coalesce(text, '')) as digest,
+  cast(role in ('user', 'tool') as integer) as is_malicious, role as attack_category from conversations""",
+    "report_sinks": f"select r.*, f.format from ({SIGNAL_SQL['score_threshold_sweep']}) r, (values ('parquet'), ('json'), ('csv')) f(format)",
     "infer_columns": infer_sql(),
     "class_distribution": f"with {LABELS} select is_malicious, count(*) as n from labelled group by 1",
     "stratified_sample": f"with {LABELS}, {rank_sql('labelled', 'is_malicious')} select prompt_id, is_malicious from rk where total <= 300 or rank <= floor(300 * size / cast(total as double))",

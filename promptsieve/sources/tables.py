@@ -6,6 +6,8 @@ operators reduce ``texts`` to narrow rows first and join labels afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +47,18 @@ def spread(frame: DataFrame, key: str) -> DataFrame:
 def load_prompts(
     spark: SparkSession, path: str, *, id_col: str = "prompt_id", text_col: str = "prompt_text",
     label_col: str = "is_malicious", category_col: str | None = None, fmt: str = "parquet",
+    malicious: Collection | None = None,
 ) -> DataFrame:
-    """Prompt table in canonical form; only the named columns are read."""
+    """Prompt table in canonical form; only the named columns are read.
+
+    A label is a number or truth value, or, with ``malicious``, any value, of which those count as
+    malicious. Null texts become empty; null labels stay null.
+    """
+    label = F.col(label_col) if malicious is None else F.col(label_col).isin(list(malicious))
     columns = [
         F.col(id_col).cast("bigint").alias("prompt_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("prompt_text"),
-        F.col(label_col).cast("int").alias("is_malicious"),
+        label.cast("int").alias("is_malicious"),
     ]
     if category_col:
         columns.append(F.col(category_col).alias("attack_category"))

@@ -11,6 +11,7 @@ from promptsieve.operators import evaluate as E
 from promptsieve.operators import learn as LN
 from promptsieve.operators import prepare as PR
 from promptsieve.operators import tfidf as TF
+from promptsieve.sources import tables
 from promptsieve.streaming import feedback as SF
 
 
@@ -277,3 +278,15 @@ def test_scorer_judges_every_external_set(spark, sf, monkeypatch):
     got = {r["dataset"]: r["n"] for r in model_checks.scored_cross_dataset(spark, sf).collect()}
     want = {r["dataset"]: r["count"] for r in data_checks.external(spark, sf).groupBy("dataset").count().collect()}
     assert len(want) == 4 and got == {**want, "missing": 0}
+
+
+def test_load_prompts(spark, tmp_path):
+    rows = [("7", None, True, "x", 1), ("8", "b", False, None, 2), (None, "c", None, "y", 3)]
+    path = str(tmp_path / "prompts")
+    spark.createDataFrame(rows, "prompt_id string, prompt_text string, is_malicious boolean, kind string, other long").write.json(path)
+    schema = dict(fmt="json", category_col="kind")
+    got = {(r.prompt_id, r.prompt_text, r.is_malicious, r.attack_category) for r in tables.load_prompts(spark, path, **schema).collect()}
+    assert got == {(7, "", 1, "x"), (8, "b", 0, None), (None, "c", None, "y")}
+    by_kind = tables.load_prompts(spark, path, fmt="json", label_col="kind", malicious=["y"])
+    assert {(r.prompt_id, r.is_malicious) for r in by_kind.collect()} == {(7, 0), (8, None), (None, 1)}
+    assert by_kind.columns == ["prompt_id", "prompt_text", "is_malicious"]

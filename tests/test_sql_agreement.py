@@ -11,6 +11,7 @@ NAMES = (
     "stratified_split_two_keys", "label_reconciliation", "robustness_transforms", "gated_decision", "cross_dataset",
     "ablation_findings", "adaptive_threshold_clamped", "drift_check", "feedback_buffer", "mined_patterns", "streaming_windows",
     "feature_table", "collapse_check", "stratified_sample", "category_downsampling", "external_caps",
+    "load_prompts", "report_sinks",
 )
 
 
