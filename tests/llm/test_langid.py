@@ -85,3 +85,29 @@ def test_odd_rows(odd, none, odd_rows):
     assert langid.train(langid.sample(none, F.lit(True))) is None
     assert {r.lang_pred for r in langid.predictions(odd, None).collect()} == {"und"}
     assert langid.predictions(none, model).count() == 0 and langid.accepted(none, None).count() == 0
+
+
+def test_every_context_seen_twice_is_kept_at_any_number_of_languages():
+    texts = [(f"l{i:02d}", (f"{chr(97 + i)}b{chr(300 + 7 * i)} die {i} zeile {chr(98 + i)}{i * i} " * 4).encode()) for i in range(19)]
+    model = langid.train(texts, depth=3)
+    assert len(model.groups) == 3
+    twice, occurring = set(), {}
+    for lang, text in texts:
+        data = text + b"\n"
+        counts = Counter(data[i:i + k] for k in range(1, 4) for i in range(len(data) - k + 1))
+        twice |= {g for g, n in counts.items() if n >= 2}
+        occurring[lang] = set(counts)
+    for trees in model.groups:
+        here = set().union(*(occurring[l] for l in model.languages[trees.languages]))
+        assert len(trees.shorter) == 1 + len(twice & here)
+    data, offsets = utf8(pa.array(["die 7 zeile", "ab die ßx"]))
+    got = langid.code_lengths(model, data, offsets)
+    assert np.allclose(got, [plain_bits(texts, model, t.encode()) for t in ("die 7 zeile", "ab die ßx")], atol=1e-3)
+    assert np.allclose(got, langid.code_lengths(langid.train(texts, depth=3, group=5), data, offsets))
+
+
+def test_the_sample_has_every_language(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 300}", f"text {i} " * 20) for i in range(900)], "doc_id long, lang string, text string")
+    picked = langid.sample(rows, rows.doc_id >= 0, total_bytes=300 * 150)
+    assert len({lang for lang, _ in picked}) == 300
+    assert sum(len(text) for _, text in picked) <= 300 * (150 + 180)
