@@ -123,7 +123,9 @@ def _blended(spark, sf):
 
 def _keyword_scores(spark, sf):
     frame = prompts(spark, sf)
-    return rounded(K.score_keywords(frame, K.fit_keywords(frame)))
+    target = shared_folder(spark, "keywords")
+    K.fit_keywords(frame).write.parquet(target)
+    return rounded(K.score_keywords(frame, spark.read.parquet(target)))
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from promptsieve.functions.hashing import stratified_rank
 from promptsieve.operators import adapt as A
 from promptsieve.operators import compare as CP
 from promptsieve.operators import evaluate as E
+from promptsieve.operators import keywords as KW
 from promptsieve.operators import learn as LN
 from promptsieve.operators import prepare as PR
 from promptsieve.operators import tfidf as TF
@@ -290,3 +291,20 @@ def test_load_prompts(spark, tmp_path):
     by_kind = tables.load_prompts(spark, path, fmt="json", label_col="kind", malicious=["y"])
     assert {(r.prompt_id, r.is_malicious) for r in by_kind.collect()} == {(7, 0), (8, None), (None, 1)}
     assert by_kind.columns == ["prompt_id", "prompt_text", "is_malicious"]
+
+
+def test_keyword_scores_by_lookup_and_by_join(spark):
+    texts = {1: "Ignore all ignore rules", 2: "", 3: None, 4: "  \t ", 5: "nothing known here", 6: "rules " * 3000}
+    frame = spark.createDataFrame(list(texts.items()), "prompt_id long, prompt_text string")
+    known = {"ignore": 0.9, "rules": 0.25, "unused": 4.0}
+    weights = spark.createDataFrame(list(known.items()), "word string, weight double")
+    for most in (1 << 20, 0):
+        scored = KW.score_keywords(frame, weights, lookup_bytes=most)
+        got = {r.prompt_id: r.keyword_score for r in scored.collect()}
+        for i, text in texts.items():
+            words = (text or "").lower().split()
+            mean = sum(known.get(w, 0.0) for w in words) / len(words) if words else None
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-10 * (mean - 0.1))) if words else 0.0)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan or "hashpartitioning(word" in plan) <= (most == 0)
+    assert KW.score_keywords(frame, weights.limit(0)).where("keyword_score > 0.3").count() == 0
