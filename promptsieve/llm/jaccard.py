@@ -50,6 +50,30 @@ SLICE = 4 << 20
 OPEN = "members > 3 or members = 3 and one.row = two.row"
 
 
+# The classes of operator 2 in SQL: equal sets collapse to their least id, links are counted over shared shingles, and the least id
+# spreads along them. Shingles are separated by a character that is no word's.
+ORACLE = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) end as grams from worded),
+owned as (
+  select doc_id, len(grams) as n, case when len(grams) = 0 then doc_id else min(doc_id) over (partition by grams) end as rep, grams from sets),
+reps as (select rep, n, grams from owned where rep = doc_id and n > 0),
+listed as (select rep, n, unnest(grams) as gram from reps),
+links as (
+  select a.rep as a, b.rep as b from listed a join listed b on a.gram = b.gram and a.rep <> b.rep
+  and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+  select rep, rep as other from reps union select r.rep, l.b from reach r join links l on l.a = r.other)
+select o.doc_id, cast(o.n as bigint) as n_shingles, coalesce(c.least, o.doc_id) as component_id
+from owned o left join (select rep, min(other) as least from reach group by rep) c on o.rep = c.rep
+"""
+
+
 class Hashes(dict):
     """64-bit hash of each word met; emptied when full."""
 

@@ -79,6 +79,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
+    "op2_ngram_jaccard": jaccard.ORACLE,
     "op4_grace_dedup": grace.ORACLE,
     "op11_systematic_mix": mixing.ORACLE,
     "op12_zone_clusters": zones.oracle(),
