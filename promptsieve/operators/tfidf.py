@@ -11,20 +11,27 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.functions import text as X
 from promptsieve.functions import vectors as V
-from promptsieve.functions.grams import word_bound_counts
+from promptsieve.functions.grams import term_totals, word_bound_counts
 from promptsieve.lexicon import WORD
 from promptsieve.operators.keywords import sigmoid
 
 
+CHAR_SIZES = (3, 4, 5)
+
+
+def word_tokens(text: Column) -> Column:
+    """Tokens of two or more word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0))
+
+
 def word_terms(texts: DataFrame, text: str = "prompt_text") -> DataFrame:
     """Adds ``terms``: one- and two-word grams over tokens of two or more word characters."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD + "{2,}"), F.lit(0))
-    staged = texts.withColumn("_tokens", tokens)
+    staged = texts.withColumn("_tokens", word_tokens(F.col(text)))
     return staged.withColumn(
         "terms", F.concat("_tokens", X.word_ngrams(F.col("_tokens"), 2))
     ).drop("_tokens")
@@ -33,16 +40,17 @@ def word_terms(texts: DataFrame, text: str = "prompt_text") -> DataFrame:
 def counted_terms(texts: DataFrame, analyzer: str, text: str = "prompt_text") -> DataFrame:
     """Adds ``counted``: array<struct<term, tf>> of the distinct terms of each text."""
     if analyzer == "char":
-        return texts.withColumn("counted", word_bound_counts(F.col(text)))
+        return texts.withColumn("counted", word_bound_counts(F.col(text), CHAR_SIZES))
     return word_terms(texts, text).withColumn("counted", X.term_counts(F.col("terms"))).drop("terms")
 
 
 def term_statistics(texts: DataFrame, analyzer: str = "word") -> DataFrame:
-    """(term, tf, df) over the corpus; each text contributes one row per distinct term."""
-    rows = X.exploded(counted_terms(texts, analyzer), F.col("counted"), "x")
-    return rows.groupBy(F.col("x.term").alias("term")).agg(
-        F.sum("x.tf").alias("tf"), F.count(F.lit(1)).alias("df")
-    )
+    """(term, tf, df) over the corpus; the terms of a task's texts are added up where they are counted."""
+    if analyzer == "char":
+        parts = term_totals(texts.select("prompt_text"), CHAR_SIZES)
+    else:
+        parts = term_totals(texts.select(F.array_join(word_tokens(F.col("prompt_text")), " ")))  # tokens hold no blanks
+    return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(texts: DataFrame, max_features: int, analyzer: str = "word", documents: int | None = None) -> DataFrame:
@@ -74,7 +82,7 @@ class TfidfModel:
             raise ValueError("the vocabulary is empty")
         keep = frame.columns
         if self.analyzer == "char":
-            counted = frame.withColumn("_n", word_bound_counts(F.col("prompt_text"), vocabulary=self.terms))
+            counted = frame.withColumn("_n", word_bound_counts(F.col("prompt_text"), CHAR_SIZES, self.terms))
             counted = counted.select(*keep, F.struct(
                 F.col("_n.term").alias("indices"), F.col("_n.tf").cast("array<double>").alias("values")
             ).alias("_c"))
