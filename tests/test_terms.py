@@ -1,11 +1,13 @@
-"""Term counts against plain Python."""
+"""Term counts and word measures against plain Python."""
 
+import math
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from promptsieve.functions import grams as G
+from promptsieve.operators import features as FX
 from promptsieve.operators import tfidf as TF
 
 TEXTS = [None, "", " ", "One two one TWO one two", "a aa aaa aaaa", "naïve Ünïcode 🙂🙂 x_y 12", "\x85left right",
@@ -49,3 +51,33 @@ def test_grams_of_a_vocabulary_by_position(spark):
         counts = Counter(char_grams(t))
         assert {r.term: r.tf for r in every[i]} == counts
         assert [(r.term, r.tf) for r in got[i]] == [(k, counts[v]) for k, v in enumerate(vocabulary) if v in counts]
+
+
+def test_word_measures_equal_plain_python(spark):
+    lists, phrases = [["one", "w1"], ["two"]], ["one two", "w0 w1 w2"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    got = dict(frame.select("i", G.word_measures(F.col("t"), (50, 4), lists, phrases)).collect())
+    for i, t in enumerate(TEXTS):
+        if t is None:
+            assert got[i] is None
+            continue
+        w = t.split(" ") if t else []
+        counts, pairs, triples = Counter(w), list(zip(w, w[1:])), list(zip(w, w[1:], w[2:]))
+        want = [len(counts), sum(n == 1 for n in counts.values()), sum(n * math.log2(n) for n in counts.values()), len(set(pairs)), len(set(triples)),
+                pairs.count(("one", "two")), triples.count(("w0", "w1", "w2"))]
+        for size in (50, 4):
+            parts = [len(set(w[s:s + size])) / size for s in range(0, len(w) - size + 1, size // 2)]
+            want.append(sum(parts) / len(parts) if parts else len(counts) / max(len(w), 1))
+        want += [sum(w.count(x) for x in m) for m in lists]
+        assert got[i] == pytest.approx(want)
+
+
+def test_word_features_sort_no_words(spark):
+    """Distinct words, pairs and windows came from sorted arrays and regular expressions over them."""
+    frame = spark.createDataFrame([(1, "One two one"), (2, None), (3, "")], "prompt_id long, prompt_text string")
+    found = FX.features(frame, ["entropy_diversity", "linguistic"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "array_distinct" not in plan
+    rows = {r.prompt_id: r for r in found.collect()}
+    assert rows[1].unique_word_ratio == pytest.approx(2 / 3) and rows[1].hapax_ratio == 0.5 and rows[1].sliding_ttr_50 == pytest.approx(2 / 3)
+    assert rows[2].unique_word_ratio is None and rows[2].hapax_ratio == 0 and rows[3].sliding_ttr_50 == 0 == rows[3].word_entropy
