@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptsieve.functions import grams as G
+from promptsieve.functions import text as X
 from promptsieve.operators import features as FX
 from promptsieve.operators import tfidf as TF
 
@@ -81,3 +82,11 @@ def test_word_features_sort_no_words(spark):
     rows = {r.prompt_id: r for r in found.collect()}
     assert rows[1].unique_word_ratio == pytest.approx(2 / 3) and rows[1].hapax_ratio == 0.5 and rows[1].sliding_ttr_50 == pytest.approx(2 / 3)
     assert rows[2].unique_word_ratio is None and rows[2].hapax_ratio == 0 and rows[3].sliding_ttr_50 == 0 == rows[3].word_entropy
+
+
+def test_measures_keep_the_digits_of_column_expressions(spark):
+    """Rounding to six digits showed sums taken in another order."""
+    frame = spark.createDataFrame([(" ".join(f"w{(i * i + k) % 97 % (11 + k % 60)}" for i in range(200 + k)),) for k in range(60)], "t string")
+    words = F.split("t", " ")
+    found = frame.select(F.get(G.word_measures(F.col("t")), F.lit(2)).alias("got"), X.log_mass(X.word_runs(words)).alias("want")).collect()
+    assert all(r.got == r.want for r in found)
