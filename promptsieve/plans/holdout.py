@@ -77,7 +77,7 @@ def leave_one_out(table: DataFrame, columns: Sequence[str], learner: Callable[[i
         row = {"held_out": name, "n_train": sizes.n, "n_test": test.count()}
         if not 0 < sizes.positive < sizes.n:
             return row
-        model = learner(sizes.n).fit(LN.assemble(train, columns))
+        model = LN.fitted(learner(sizes.n), LN.assemble(train, columns))
         scored = model.transform(LN.assemble(test, columns)).select("is_malicious", LN.positive().alias("score")).persist()
         judged = scored.withColumn("pred", (F.col("score") > 0.5).cast("int"))
         row |= E.with_metrics(E.confusion(judged, F.col("pred")), METRICS).first().asDict() | E.roc_auc(E.ranked(judged)).first().asDict()

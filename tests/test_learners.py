@@ -71,3 +71,17 @@ def test_bootstrap_of_cells_equals_resampling_pairs(spark):
     low, high = np.quantile(values, [0.025, 0.975])
     assert row.low == pytest.approx(low, abs=0.006) and row.high == pytest.approx(high, abs=0.006)
     assert LN.bootstrap_interval(cells, draws=2000).first() == row
+
+
+def test_models_score_in_a_session_that_registered_an_observation(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get == {"n": 3}
+    rows = [(i, i % 2, [float(i % 2), float(i % 7)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "prompt_id long, is_malicious int, embedding array<double>")
+    assert LN.linear_probe(frame, frame).where("pred = is_malicious").count() == 60
+    vectors = LN.assemble(frame.select("prompt_id", "is_malicious", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b")), ["a", "b"])
+    model = LN.fitted(LN.forest(3, 3), vectors)
+    assert not model.hasSummary and LN._scored(model, vectors, "score").where("(score > 0.5) = (is_malicious = 1)").count() == 60
