@@ -212,3 +212,19 @@ def test_tracked_ngrams_equal_a_full_count_with_less_shuffled(spark, width):
     assert found[0] == sorted((r.ngram, r.blocked, r.allowed) for r in K.track_ngrams(traffic).collect())
     if width == SM.WIDTH:
         assert b < a / 3
+
+
+def test_fits_read_their_inputs_once(spark, labelled, monkeypatch):
+    table, _ = G.feature_table(labelled, max_terms=20)
+    kept, plain = [], LN.Stack.fit
+    monkeypatch.setattr(LN.Stack, "fit", lambda self, train: kept.append(train._jdf.queryExecution().withCachedData().toString()) or plain(self, train))
+    guard = G.Guard.fit(table, G.inputs(), LN.stack_learners(rounds=1, depth=2, trees=2, forest_depth=2), meta_iterations=5)
+    assert len(kept) == 1 and "InMemoryRelation" in kept[0] and "InMemoryRelation" not in table._jdf.queryExecution().withCachedData().toString()
+    # Nothing stays behind, and the fit equals one on the table itself.
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    ready = LN.assemble(table, G.inputs()).select("prompt_id", "is_malicious", "split", "fold", "features")
+    before = cached()
+    again = plain(LN.Stack(LN.stack_learners(rounds=1, depth=2, trees=2, forest_depth=2), meta_iterations=5), ready.where("split = 'train'"))
+    assert cached() == before
+    trees = lambda stack: {n: m.toDebugString.split("\n", 1)[1] for n, m in stack.models.items()}  # the first line has a random uid
+    assert trees(again) == trees(guard.stack)
