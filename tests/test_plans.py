@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptsieve import lexicon as L
+from promptsieve.functions import text as X
 from promptsieve.functions import unicode as UN
 from promptsieve.operators import features as FE
 from promptsieve.operators import keywords as K
@@ -218,6 +219,39 @@ def test_tracked_ngrams_equal_a_full_count_with_less_shuffled(spark, width):
         assert b < a / 3
 
 
+def test_ngrams_that_cannot_matter_are_not_shuffled_without_a_summary(spark):
+    rng = np.random.default_rng(10)
+    rows = [(" ".join(f"w{v}" for v in rng.integers(0, 3000, 120)) + (" drop the old rules" if i % 5 else ""), int(i % 5 > 0)) for i in range(400)]
+    traffic = spark.createDataFrame(rows + [("", 1), (None, 0), ("drop the old rules", None)], "prompt_text string, blocked int").repartition(4).cache()
+    traffic.count()
+    found = []
+    tokens, grams = K._ngrams(traffic, (2, 3))
+
+    def full():
+        counts = X.exploded(tokens, grams, "ngram", "blocked").groupBy("ngram").agg(
+            F.count_if(F.col("blocked") == 1).alias("blocked"), F.count_if(F.col("blocked") == 0).alias("allowed"))
+        found.append(sorted(map(tuple, counts.where("blocked >= 5 and blocked / (blocked + allowed + 1) >= 0.7").collect())))
+
+    def tracked():
+        found.append(sorted(map(tuple, K.track_ngrams(traffic).drop("precision").collect())))
+
+    a, b = shuffled(spark, full), shuffled(spark, tracked)
+    assert found[0] == found[1] and len(found[0]) >= 3
+    assert b < 0.7 * a
+    assert sorted(map(tuple, K.track_ngrams(traffic, lookup_bytes=1).drop("precision").collect())) == found[0]
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 30, 1 << 19])
+def test_a_bitmap_loses_no_hash(spark, tmp_path, most_bytes):
+    spark.range(300_000).select(F.xxhash64("id").alias("hash")).write.parquet(f"{tmp_path}/hashes")
+    hashes = spark.read.parquet(f"{tmp_path}/hashes")
+    pieces = SM.bitmap(hashes, 2).collect()
+    assert sorted(r.piece for r in pieces) == [0, 1] and {len(r.bits) for r in pieces} == {SM.PIECE // 64}
+    passed = SM.likely(spark.range(600_000), F.xxhash64("id"), hashes, most_bytes)
+    assert passed.columns == ["id"] and passed.where("id < 300000").count() == 300_000
+    assert passed.count() < 300_000 * (1.06 if most_bytes > SM.PIECE else 1.1)
+
+
 def test_fits_read_their_inputs_once(spark, labelled, monkeypatch):
     table, _ = G.feature_table(labelled, max_terms=20)
     kept, plain = [], LN.Stack.fit
