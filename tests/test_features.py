@@ -137,3 +137,29 @@ def test_pattern_scores_match_plain_regex(spark):
         assert got[key] == want
     custom = P.pattern_scores(frame, {"(unclosed": 0.7, "hello": 0.5}).collect()
     assert {r["prompt_id"]: r["pattern_score"] for r in custom}[2] == 0.5
+
+
+def test_a_text_is_cut_at_white_space_twice(spark):
+    """Once in lower case and once as it is, whatever number of features needs the pieces."""
+    frame = spark.createDataFrame(list(TEXTS.items()), "prompt_id long, prompt_text string")
+    plan = FX.features(frame, ["text_statistics", "char_composition", "code_markup", "readability"])._jdf.queryExecution().optimizedPlan().toString()
+    blanks = L.WS[1:-1]
+    assert plan.count(f", [{blanks}]+, ") == 2 and plan.count(f"[{blanks}]+") == 2
+
+
+def test_runs_markers_and_blanks_by_plain_python(spark):
+    texts = [
+        "AAAABBBBCCCCDDDDEEEE==FFFFGGGGHHHHIIIIJJJJKK=x " + "a" * 45 + "====" + "b" * 20 + " " + "c" * 19, "SYSTEM: a\u3000b", "aSYSTEM : c user\n:",
+        "\u017fystem: x", "one\ttwo\x1cthree.\n. ? four!  FIVE", " . a . b c ", "\u0130\u0130 \u039f\u0394\u039f\u03a3. A\u00a0B",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "prompt_id long, prompt_text string")
+    got = {r["prompt_id"]: r for r in FX.features(frame).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["encoding_base64"] == len(re.findall(L.ENCODING_PATTERNS["base64"], text))
+        assert got[i]["has_system_marker"] == bool(re.search(r"\bSYSTEM\s*:", text, re.I))
+        assert got[i]["has_user_marker"] == bool(re.search(r"\bUSER\s*:", text, re.I))
+        assert got[i]["space_ratio"] == pytest.approx(sum(c.isspace() for c in text) / len(text))
+        sizes = [n for n in (len(s.split()) for s in re.split("[.!?]+", text)) if n]
+        mean = sum(sizes) / len(sizes)
+        assert got[i]["sentence_length_variance"] == pytest.approx(sum((n - mean) ** 2 for n in sizes) / len(sizes))
+        assert got[i]["caps_word_count"] == sum(len(w) > 1 and w.isupper() for w in text.split())
