@@ -303,3 +303,19 @@ def test_the_screener_reads_a_text_twice_and_repeated_ids_meet(spark, labelled):
     joined = joined.join(joined.select("prompt_id"), "prompt_id")
     want = sorted(tuple(r) for r in joined.select("prompt_id", "pattern_score", "similarity", "keyword_score", "probability").collect())
     assert len(got) == len(want) == 18 + 2 * 16 ** 2 and got == want
+
+
+def test_the_scorers_other_parts_are_fitted_while_the_stack_is(labelled, monkeypatch):
+    begun = {kind: threading.Event() for kind in ("word", "char", "keywords")}
+    fit, keywords = TF.Similarity.fit, K.fit_keywords
+    monkeypatch.setattr(SC.TF.Similarity, "fit", lambda rows, k, kind: (begun[kind].set(), fit(rows, k, kind))[1])
+    monkeypatch.setattr(SC.K, "fit_keywords", lambda rows: (begun["keywords"].set(), keywords(rows))[1])
+    rows = labelled.select("prompt_id", "prompt_text", "is_malicious").where("prompt_id < 60").cache()
+
+    def stack():
+        return "guard", all(event.wait(60) for event in begun.values())
+
+    screener = SC.Screener.around(rows, stack, 50, 50)
+    assert (screener.guard, screener.terms) == ("guard", True)
+    assert (screener.word, screener.char) == (fit(rows, 50, "word"), fit(rows, 50, "char"))
+    assert sorted(screener.keywords.collect()) == sorted(keywords(rows).collect())
