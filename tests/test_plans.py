@@ -319,3 +319,32 @@ def test_the_scorers_other_parts_are_fitted_while_the_stack_is(labelled, monkeyp
     assert (screener.guard, screener.terms) == ("guard", True)
     assert (screener.word, screener.char) == (fit(rows, 50, "word"), fit(rows, 50, "char"))
     assert sorted(screener.keywords.collect()) == sorted(keywords(rows).collect())
+
+
+def test_registered_models_are_fitted_whole(monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import model_checks as M
+
+    sizes, fits = [], []
+
+    def fitted(table, columns, learners, splits=("train",), meta_iterations=1000):
+        fits.append((learners, meta_iterations))
+        raise InterruptedError
+
+    def ablated(table, learners, n_terms, runs=None, meta_iterations=1000):
+        fitted(table, runs, learners(), meta_iterations=meta_iterations)
+
+    monkeypatch.setattr(M, "prompts", lambda spark, sf: None)
+    monkeypatch.setattr(G, "feature_table", lambda rows, max_terms=5000: sizes.append(max_terms) or (None, SimpleNamespace(terms=())))
+    monkeypatch.setattr(G.Guard, "fit", fitted)
+    monkeypatch.setattr(G, "ablation", ablated)
+    monkeypatch.setattr(SC.Screener, "around", lambda rows, stack, word=5000, char=5000: sizes.extend((word, char)) or stack())
+    for name in ("scored_prompts", "feature_ablation", "retrained_report", "stack_predictions", "feature_importance"):
+        with pytest.raises(InterruptedError):
+            M.QUERIES[name](None, f"no folder of {name}")
+    assert set(sizes) == {5000} and len(fits) == 5
+    for learners, meta_iterations in fits:
+        assert meta_iterations == 1000 and list(learners) == ["boosted_1", "boosted_2", "forest"]
+        assert {(m.getMaxIter(), m.getMaxDepth()) for m in list(learners.values())[:2]} == {(500, 6)}
+        assert (learners["forest"].getNumTrees(), learners["forest"].getMaxDepth()) == (300, 12)
