@@ -1,6 +1,7 @@
 """Term counts and word measures against plain Python."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -90,3 +91,45 @@ def test_measures_keep_the_digits_of_column_expressions(spark):
     words = F.split("t", " ")
     found = frame.select(F.get(G.word_measures(F.col("t")), F.lit(2)).alias("got"), X.log_mass(X.word_runs(words)).alias("want")).collect()
     assert all(r.got == r.want for r in found)
+
+
+def test_packed_grams_equal_plain_ones(spark, monkeypatch):
+    """Grams were Python strings, counted one by one."""
+    rng = random.Random(3)
+    kinds = ["ab", "abc \t", "éß\x00x ", "".join(map(chr, range(0x4E00, 0x4E00 + 9000))) + " ", "🙂x  İΣ"]
+    texts = [None, "", "\x00 a\x00", *("".join(rng.choices(kinds[i % 5], k=rng.randint(0, 400))) for i in range(200)),
+             kinds[3], " ".join(kinds[3]), "ab cd " * 300]
+    every = Counter(g for t in texts for g in char_grams(t))
+    common = [g for g, _ in every.most_common(500)] + ["b a", "a", "abcdef"]
+    for chars in (64, 1 << 20):
+        monkeypatch.setattr(G, "CHARS", chars)
+        parts = [b.to_pylist() for b in totals_of(G, texts)]
+        tf, df = Counter(), Counter()
+        for r in (r for part in parts for r in part):
+            tf[r["term"]] += r["tf"]
+            df[r["term"]] += r["df"]
+        assert tf == every and df == Counter(g for t in texts for g in set(char_grams(t)))
+        frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+        for vocabulary in (common[:3], [g for g in common if max(g) < "一"], common, ["zz9"], ["b a"]):
+            got = dict(frame.select("i", G.word_bound_counts(F.col("t"), vocabulary=vocabulary)).collect())
+            for i, t in enumerate(texts):
+                counts = Counter(char_grams(t))
+                assert [(r.term, r.tf) for r in got[i]] == [(k, counts[v]) for k, v in enumerate(vocabulary) if v in counts]
+
+
+def totals_of(module, texts):
+    """The parts that a task of ``term_totals`` sends."""
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, function, schema):
+            return function(pa.RecordBatch.from_arrays([pa.array(texts[i:i + 7], pa.string())], names=["t"]) for i in range(0, len(texts), 7))
+
+    return list(module.term_totals(Rows(), (3, 4, 5), held=1 << 10))
+
+
+def test_grams_are_counted_without_a_python_object_each(monkeypatch):
+    monkeypatch.setattr(G, "_word_bound", None)
+    rows = [r for part in totals_of(G, ["One two", "two"]) for r in part.to_pylist()]
+    assert {r["term"]: (r["tf"], r["df"]) for r in rows} == {
+        g: (n, 2 if g in char_grams("two") else 1) for g, n in Counter(char_grams("One two two")).items()}
