@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from promptsieve.functions import text as X
 from promptsieve.functions import vectors as V
-from promptsieve.functions.grams import term_totals, word_bound_counts
+from promptsieve.functions.grams import term_hashes, term_totals, totals_of_hashes, word_bound_counts
 from promptsieve.lexicon import WORD
 from promptsieve.operators.keywords import sigmoid
+from promptsieve.streaming.feedback import shared_folder
 
 
 CHAR_SIZES = (3, 4, 5)
+HASHES = 1 << 20  # of words and pairs, that may be sent with the tasks
+SENT = 1 << 16  # hashes of words and pairs that a task sends, eight times the terms at least
 
 
 def word_tokens(text: Column) -> Column:
@@ -49,17 +52,54 @@ def term_statistics(texts: DataFrame, analyzer: str = "word") -> DataFrame:
     if analyzer == "char":
         parts = term_totals(texts.select("prompt_text"), CHAR_SIZES)
     else:
-        parts = term_totals(texts.select(F.array_join(word_tokens(F.col("prompt_text")), " ")))  # tokens hold no blanks
+        parts = term_totals(_joined_tokens(texts))
     return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
+def _joined_tokens(texts: DataFrame) -> DataFrame:
+    return texts.select(F.array_join(word_tokens(F.col("prompt_text")), " "))  # tokens hold no blanks
+
+
+def frequent_terms(texts: DataFrame, k: int, most: int = HASHES) -> DataFrame:
+    """(term, tf, df) of words and pairs, among them the k most frequent; the smaller term wins ties.
+
+    Most pairs occur once, so occurrences are counted by hashes first, from below and at most ``missed`` short. Terms that
+    by this may be among the k are then counted as such, exactly. Hashes shared by terms only let more pass: if the k-th
+    exact count shows that something else might be among them, the second count is made again from there. If more than
+    ``most`` hashes may matter, all terms are counted.
+    """
+    joined, spark = _joined_tokens(texts), texts.sparkSession
+    target = shared_folder(spark, "term-hashes")
+    term_hashes(joined, sent=max(SENT, 8 * k)).groupBy("hash").agg(F.sum("n").alias("n")).write.parquet(target)
+    counts = spark.read.parquet(target)
+    missed = counts.where("hash is null").agg(F.sum("n")).first()[0] or 0
+    counts = counts.where("hash is not null")
+    kth = lambda rows, name: min((r[0] for r in rows), default=0) if len(rows := rows.orderBy(F.desc(name)).select(name).limit(k).collect()) == k else 0
+    least = kth(counts, "n")  # no less often than this, if hashes are not shared, does the k-th occur
+    while True:
+        likely = counts.where(F.col("n") >= least - missed)
+        if least <= missed and missed or likely.count() > most:
+            return term_statistics(texts)
+        hashes = [r["hash"] for r in likely.select("hash").collect()]
+        if not hashes:
+            return term_statistics(texts)
+        folder = shared_folder(spark, "terms")
+        totals_of_hashes(joined, hashes).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).write.parquet(folder)
+        exact = spark.read.parquet(folder)
+        found = kth(exact, "tf")
+        if found >= least:
+            return exact
+        least = found
+
+
 def vocabulary(texts: DataFrame, max_features: int, analyzer: str = "word", documents: int | None = None) -> DataFrame:
     """(term, tf, df, idf) of the most frequent terms; the smaller term wins ties.
 
     idf = ln((1 + n) / (1 + df)) + 1.
     """
     n = texts.count() if documents is None else documents
-    top = term_statistics(texts, analyzer).orderBy(F.col("tf").desc(), "term").limit(max_features)
+    every = frequent_terms(texts, max_features) if analyzer == "word" else term_statistics(texts, analyzer)
+    top = every.orderBy(F.col("tf").desc(), "term").limit(max_features)
     return top.withColumn("idf", F.ln(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 

@@ -133,3 +133,39 @@ def test_grams_are_counted_without_a_python_object_each(monkeypatch):
     rows = [r for part in totals_of(G, ["One two", "two"]) for r in part.to_pylist()]
     assert {r["term"]: (r["tf"], r["df"]) for r in rows} == {
         g: (n, 2 if g in char_grams("two") else 1) for g, n in Counter(char_grams("One two two")).items()}
+
+
+@pytest.mark.parametrize("held", [20, 1 << 20])
+def test_frequent_terms_equal_a_full_count(spark, monkeypatch, held):
+    """All pairs were shuffled as strings, though most occur once."""
+    rng = random.Random(5)
+    texts = [None, "", "x", " .", *(" ".join(f"wé{int(rng.paretovariate(0.9))}" for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    frame = spark.createDataFrame([(t,) for t in texts], "prompt_text string").repartition(3)
+    plain = TF.term_hashes
+    monkeypatch.setattr(TF, "term_hashes", lambda rows, sent: plain(rows, held, sent))
+    every = {r.term: (r.tf, r.df) for r in TF.term_statistics(frame).collect()}
+    ranked = sorted(every, key=lambda t: (-every[t][0], t))
+    hashes = plain(TF._joined_tokens(frame), held).groupBy("hash").agg(F.sum("n").alias("n")).collect()
+    missed = next(r.n for r in hashes if r.hash is None)
+    assert (missed > 0) == (held == 20)
+    assert sum(r.n for r in hashes if r.hash is not None) <= sum(tf for tf, _ in every.values())
+    for k in (1, 7, 100, 100_000):
+        got = TF.vocabulary(frame, k).collect()
+        assert [(r.term, r.tf, r.df) for r in got] == [(t, *every[t]) for t in ranked[:k]]
+    assert TF.frequent_terms(frame, 7).count() < len(every) / 2
+
+
+def test_terms_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    texts = ["aa bb cc dd"] * 5 + ["aa bb cc"] * 3 + ["aa ee"] * 4
+    frame = spark.createDataFrame([(t,) for t in texts], "prompt_text string").coalesce(1)
+    plain = G._hashed_words
+
+    def few(some, powers):
+        raw, kinds = plain(some, powers)
+        return raw, [(kind[0] % 3, *kind[1:]) for kind in kinds]
+
+    every = {r.term: (r.tf, r.df) for r in TF.term_statistics(frame).collect()}
+    ranked = sorted(every, key=lambda t: (-every[t][0], t))
+    monkeypatch.setattr(G, "_hashed_words", few)
+    for k in (1, 4, len(ranked) + 1):
+        assert [(r.term, r.tf, r.df) for r in TF.vocabulary(frame, k).collect()] == [(t, *every[t]) for t in ranked[:k]]
